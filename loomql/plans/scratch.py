@@ -40,3 +40,10 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df`` marked for broadcast if it holds at most ``rows`` rows (counted), else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if len(df.select(F.lit(1)).take(rows + 1)) <= rows else df
