@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomql.llm.op1_simhash import op1_simhash
+from loomql.llm.op2_resharding import op2_resharding
+from loomql.llm.op3_toxicity import op3_toxicity
+from loomql.llm.op4_sentencepiece import op4_sentencepiece
+from loomql.llm.op7_mixing import op7_mixing
+from loomql.llm.op8_transport_stream import op8_transport_stream
+from loomql.llm.op9_token_files import op9_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_resharding": op2_resharding,
+    "op3_toxicity": op3_toxicity,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op7_mixing": op7_mixing,
+    "op8_transport_stream": op8_transport_stream,
+    "op9_token_files": op9_token_files,
 }
 ORACLES: dict[str, str] = {}
