@@ -30,13 +30,14 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomql.operators.components import connected_components
-from loomql.plans.scratch import cut
+from loomql.plans.scratch import cut, small_side
 
 SEED = 42
 SHINGLE = 3
@@ -205,16 +206,35 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(_link_batches, "u long, v long").distinct()
 
 
+def _classes(nodes: DataFrame) -> DataFrame:
+    """(fp, least_id, root): the component root of every distinct fingerprint; ``nodes`` are (fp, least_id)."""
+    roots = connected_components(links(nodes.select("fp")))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
     marks = cut(fingerprints(docs))
-    nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = connected_components(links(nodes.select("fp")))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _classes(cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id"))))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = cut(named.join(least, "root").select("fp", "component_id"))
     return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: the one of least doc_id, null last."""
+    nodes = cut(fingerprints(docs).groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    order = F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id"), F.col("fp"))
+    chosen = cut(_classes(nodes).groupBy("root").agg(F.min(order).alias("c")).select("c.fp", "c.least_id"))
+
+    @F.pandas_udf("long")
+    def fp_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), fp_of(F.col("text").cast("string")).alias("f"))
+    kept = rows.join(small_side(chosen), (F.col("f") == F.col("fp")) & F.col("id").eqNullSafe(F.col("least_id")))
+    return kept.select("row", "fp").dropDuplicates(["fp"]).select("row.*")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

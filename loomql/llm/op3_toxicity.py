@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,20 +189,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Mode
     return model
 
 
-def _score_batches(model: Model):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score([t or "" for t in batch.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
+def score_column(model: Model, text: Column) -> Column:
+    """The score of a text column."""
 
-    return work
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score([t or "" for t in texts]))
+
+    return score(text.cast("string"))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score_batches(model), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_column(model, F.col("text")).alias("score"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below 0.5."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score_column(model, F.col("text")).alias("s"))
+    return rows.where("s < 0.5").select("row.*")
+
+
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score_documents(docs, train(docs, labels))

@@ -61,34 +61,53 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return level.withColumn("target", target).withColumn("epochs", epochs).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))).select("source", "source_size", "target", "epochs", "rest")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken, mix_key) for every row of ``docs``.
-
-    ``copies`` is how often the mix takes the document and ``taken`` the words that gives.
-    """
+def _drawn(docs: DataFrame, seed: int, row: Column | None = None) -> DataFrame:
+    """Every row's size, key and key bucket (and the row itself as a struct)."""
     text = whole(F.col("text"))
     draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
     u = (F.pmod(draw, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), draw.alias("draw"), (-F.log(u) / quality_weight(text)).alias("mix_key"))
-    keyed = cut(drawn.withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("mix_key")))).cast("int")))
+    kept = [] if row is None else [row.alias("row")]
+    rows = docs.select(*kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), draw.alias("draw"), (-F.log(u) / quality_weight(text)).alias("mix_key"))
+    return rows.withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("mix_key")))).cast("int"))
+
 
+def _plan(keyed: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """One row a source: its target, and the bucket in which its budget ends with the words before it."""
     sums = cut(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
     goals = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    scanned = sums.withColumn("before", before)
-    edge = scanned.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
+    edge = sums.withColumn("before", before).alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
     edge = edge.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
     edge = edge.select(F.col("g.source").alias("source"), F.col("bucket").alias("edge_bucket"), F.col("before").alias("edge_before"))
-    plan = cut(goals.alias("g").join(edge.alias("e"), same(goals, edge), "left").select("g.*", F.coalesce("edge_bucket", F.lit(BUCKETS + 1)).alias("edge_bucket"), F.coalesce("edge_before", F.lit(0)).alias("edge_before")))
+    joined = goals.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left")
+    return cut(joined.select("g.*", F.coalesce("edge_bucket", F.lit(BUCKETS + 1)).alias("edge_bucket"), F.coalesce("edge_before", F.lit(0)).alias("edge_before")))
 
-    placed = keyed.alias("k").join(small_side(plan).alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).select("k.*", "p.source_size", "p.target", "p.epochs", "p.rest", "p.edge_bucket", "p.edge_before")
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds ``copies``; only the documents of the edge buckets are sorted."""
+    placed = rows.alias("k").join(small_side(plan).alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).select("k.*", "p.source_size", "p.target", "p.epochs", "p.rest", "p.edge_bucket", "p.edge_before")
     clear = placed.where("bucket <> edge_bucket").withColumn("extra", ((F.col("bucket") < F.col("edge_bucket")) & (F.col("rest") > 0)).cast("long"))
     running = Window.partitionBy("source").orderBy("mix_key", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("edge_before") + F.coalesce(F.sum("size").over(running), F.lit(0))
     at_edge = placed.where("bucket = edge_bucket").withColumn("extra", (start + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    copies = F.col("epochs") + F.col("extra")
-    return clear.unionByName(at_edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "mix_key")
+    return clear.unionByName(at_edge).withColumn("copies", F.col("epochs") + F.col("extra"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, mix_key) for every row of ``docs``.
+
+    ``copies`` is how often the mix takes the document and ``taken`` the words that gives.
+    """
+    keyed = cut(_drawn(docs, seed))
+    out = _taken(keyed, _plan(keyed, weights, share, cap))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "mix_key")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes them."""
+    plan = _plan(_drawn(docs, seed), weights, share, cap)
+    rows = _taken(_drawn(docs, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), plan)
+    return rows.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
