@@ -1,0 +1 @@
+"""A declarative transformation language and its incremental execution, on Spark DataFrames."""
