@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from loomql.plans.scratch import new_folder
 END_ID = 2
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 _FILE = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
 
@@ -58,46 +57,61 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that begin with a space
+        self.leads[[i for piece, i in self.tokenizer.get_vocab().items() if piece.startswith("\u0120")]] = True
         self.words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in many(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of " " + word for words that have no space in them and no white space at either end.
+
+        The library gets them in long runs; as only a word's first token holds a space, the runs are cut there.
+        """
+        runs = ["".join([" " + w for w in words[at : at + 512]]) for at in range(0, len(words), 512)]
+        raw = b"".join(self._library(runs))
+        cuts = np.flatnonzero(self.leads[np.frombuffer(raw, dtype="<u4")]) * 4
+        cuts = [*cuts.tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _learn(self, words: set[str]) -> set[str]:
         """Puts words into the memory; returns those that no memory can hold."""
-        odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
-        split = {}
-        for w in words - odd:
+        plain = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        odd = {w for w in rest if not w or w[0].isspace() or w[-1].isspace()}
+        split, known = {}, self.words
+        for w in rest:
             core = w.rstrip(".,")
-            split[w] = (core, w[len(core) :]) if core and core[-1].isalpha() else (w, "")
-        fresh = list({core for core, _ in split.values()} - self.words.keys())
-        self.words.update(zip(fresh, self._library([" " + w for w in fresh])))
-        ends = list({end for _, end in split.values()})
+            if core != w and core and core[-1].isalpha() and w not in odd:
+                split[w] = core
+            elif w not in odd:
+                plain.append(w)
+        plain += set(split.values()).difference(known).difference(plain)
+        known.update(zip(plain, self._words(plain)))
+        ends = list({w[len(core) :] for w, core in split.items()})
         end_ids = dict(zip(ends, self._library(ends)))
-        self.words.update({w: self.words[core] + end_ids[end] for w, (core, end) in split.items()})
+        known.update({w: known[core] + end_ids[w[len(core) :]] for w, core in split.items()})
         return odd
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.words) > CACHE_WORDS:
             self.words = {}
-        parts = [t.split(" ") for t in texts]
-        unknown = set(chain.from_iterable(p[1:] for p in parts)).difference(self.words)
-        odd = self._learn(unknown) if unknown else set()
-        whole = [i for i, p in enumerate(parts) if len(p) == 1 or not p[0] or p[0][-1].isspace() or odd and not odd.isdisjoint(p[1:])]
-        heads = [texts[i] for i in whole]
-        single = set(whole)
-        heads += [p[0] for i, p in enumerate(parts) if i not in single]
-        encoded = iter(self._library(heads))
-        out: list[bytes] = [b""] * len(texts)
-        for i in whole:
-            out[i] = next(encoded)
-        get = self.words.__getitem__
-        for i, p in enumerate(parts):
-            if i not in single:
-                out[i] = next(encoded) + b"".join(map(get, p[1:]))
-        return out
+        get = self.words.get
+        cut = [t.partition(" ") for t in texts]
+        tails = [c[2].split(" ") if c[1] else [] for c in cut]
+        found = [list(map(get, tail)) for tail in tails]
+        gaps = [i for i, f in enumerate(found) if None in f]
+        odd = self._learn({w for i in gaps for w, x in zip(tails[i], found[i]) if x is None}) if gaps else set()
+        for i in gaps:
+            found[i] = list(map(get, tails[i]))
+        # texts with other white space around a space, or before the first one, go to the library whole
+        alone = [i for i in gaps if None in found[i]] if odd else []
+        single = {*alone, *(i for i, c in enumerate(cut) if not c[1] or not c[0] or c[0][-1].isspace())}
+        heads = self._library([texts[i] if i in single else cut[i][0] for i in range(len(texts))])
+        return [h if i in single else h + b"".join(found[i]) for i, h in enumerate(heads)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
