@@ -25,6 +25,28 @@ def register(name: str, dialects: tuple[str, ...] | None = None):
 
 def unregister(name: str) -> None:
     _FUNCTIONS.pop(name, None)
+    _AGGREGATES.pop(name, None)
+
+
+#: Aggregates that users add: name → builder of (aggregate column, type) from a Val.
+_AGGREGATES: dict[str, Callable] = {}
+
+
+def register_aggregate(name: str):
+    """Decorator: make ``build(value: Val, *arguments) -> (Column, DataType)`` an aggregate called ``name``.
+
+    The column is an aggregate expression over ``value.col``: built-in functions, or a grouped-aggregate Pandas UDF.
+    """
+
+    def add(build: Callable) -> Callable:
+        _AGGREGATES[name] = build
+        return build
+
+    return add
+
+
+def own_aggregate(name: str) -> Callable | None:
+    return _AGGREGATES.get(name)
 
 
 def lookup(name: str, in_dialect: str, out_dialect: str) -> Callable:

@@ -209,6 +209,8 @@ class Compiler:
         if not ev.free(node.value, scope):
             v = ev.single(node.value, scope)
             return self.over_values(node, v)
+        if functions.own_aggregate(node.function):
+            raise CompileError(f"{node.function} takes one value a row")
         cells, sample = ev.many_typed(node.value, scope)
         name = self.fresh("__m")
         ev.df = ev.df.withColumn(name, cells)
@@ -219,6 +221,8 @@ class Compiler:
 
     def over_values(self, node: A.Aggregate, v: Val) -> tuple[Column, T.DataType]:
         f = node.function
+        if (build := functions.own_aggregate(f)) is not None:
+            return build(v, *node.arguments)
         if f == "COUNT":
             if self.weight:
                 return F.coalesce(F.sum(F.when(v.col.isNotNull(), F.col("__weight"))), F.lit(0)).cast("long"), T.LongType()

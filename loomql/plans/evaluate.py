@@ -117,7 +117,7 @@ class Evaluator:
         val = lambda c: Val(c["v"], t, dynamic, c["n"], c["i"])
         if keep is not None:
             cells = F.filter(cells, lambda c: F.coalesce(keep(val(c)), F.lit(False)))
-        return F.flatten(F.transform(cells, lambda c: then(val(c))))
+        return F.flatten(F.filter(F.transform(cells, lambda c: then(val(c))), lambda inner: inner.isNotNull()))
 
     def explode(self, found: tuple[Column, T.DataType, bool], outer: bool, keep: Callable[[Val], Column] | None = None) -> Val:
         """One row for each accepted child; with ``outer`` a row without any stays, its child missing."""
@@ -291,7 +291,7 @@ class Evaluator:
         cells, sample = self.many_typed(node.value, scope)
         each = lambda x: number(replace(sample, col=x), node.function)
         if node.function == "COUNT":
-            return Val(F.size(cells).cast("long"), T.LongType())
+            return Val(F.coalesce(F.size(cells), F.lit(0)).cast("long"), T.LongType())
         total = lambda: F.aggregate(cells, F.lit(0.0), lambda a, x: a + each(x))
         if node.function == "SUM":
             return Val(F.coalesce(total(), F.lit(0.0)), T.DoubleType())

@@ -1,0 +1,259 @@
+"""Golden scenarios: full run on state 1, then an incremental run to state 2, in every store and mode."""
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from loomql.lang.parser import parse
+from loomql.operators.incremental import require_unique, signed_diff
+from loomql.plans.run import result, run
+from loomql.plans.values import CompileError
+from loomql.queries import incremental
+from loomql.sources.registry import EngineError, create
+from loomql.sources.stores import NoVersionsError, UserDefinedIdError
+from loomql.streaming import triggers
+
+ATTRIBUTES = ("salary", "bonus", "coworkers", "employer", "v1", "v2")
+GLOBAL = "OUT._id <- 'result', OUT.sum <- SUM(IN.salary), OUT.count <- COUNT(IN._id)"
+BY_EMPLOYER = "OUT._id <- IN.employer, OUT.sum <- SUM(IN.salary), OUT.count <- COUNT(IN._id)"
+TWO_SUMS = "OUT._id <- 'result', OUT.sum_salary <- SUM(IN.salary), OUT.sum_coworkers <- SUM(IN.coworkers), OUT.count <- COUNT(IN._id)"
+COPY = "OUT._id <- IN._id, OUT.$(IN.*.name()) <- IN.@"
+TRANSPOSE = "OUT._id <- IN.*.name(), OUT.$(IN._id) <- IN.@"
+
+P2 = {"A": {"salary": 10000}, "B": {"salary": 20000}}
+P4 = {"A": {"employer": "Employer1", "salary": 10000}, "B": {"employer": "Employer1", "salary": 15000}, "C": {"employer": "Employer2", "salary": 20000}, "D": {"employer": "Employer2", "salary": 25000}}
+P2C = {"A": {"salary": 10000, "coworkers": 1}, "B": {"salary": 20000, "coworkers": 10}}
+
+
+def change(state, **rows):
+    """The state with some rows' attributes changed; None removes a row."""
+    out = {k: dict(v) for k, v in state.items()}
+    for k, v in rows.items():
+        if v is None:
+            out.pop(k, None)
+        else:
+            out.setdefault(k, {}).update(v)
+    return out
+
+
+def E(a, b):
+    return {"Employer1": dict(zip(("sum", "count"), a)), "Employer2": dict(zip(("sum", "count"), b))}
+
+
+def R(*values, names=("sum", "count")):
+    return {"result": dict(zip(names, values))}
+
+
+THREE = ("sum_salary", "sum_coworkers", "count")
+SCENARIOS = {
+    "001 update": ("", GLOBAL, P2, R(30000, 2), change(P2, A={"salary": 15000}), R(35000, 2)),
+    "002 delete": ("", GLOBAL, P2, R(30000, 2), change(P2, A=None), R(20000, 1)),
+    "003 one addend": ("", "OUT._id <- IN.employer, OUT.sum <- SUM(IN.salary+IN.bonus), OUT.count <- COUNT(IN._id)", {"A": {"employer": "Employer1", "bonus": 500, "salary": 10000}}, {"Employer1": {"sum": 10500, "count": 1}}, {"A": {"employer": "Employer1", "bonus": 1500, "salary": 10000}}, {"Employer1": {"sum": 11500, "count": 1}}),
+    "004 group": ("", BY_EMPLOYER, P4, E((25000, 2), (45000, 2)), change(P4, A={"employer": "Employer2"}), E((15000, 1), (55000, 3))),
+    "005 group and value": ("", BY_EMPLOYER, P4, E((25000, 2), (45000, 2)), change(P4, A={"employer": "Employer2", "salary": 13000}), E((15000, 1), (58000, 3))),
+    "006 filter ok ok": ("IN.salary > 5000", GLOBAL, P2, R(30000, 2), change(P2, A={"salary": 15000}), R(35000, 2)),
+    "007 filter no ok": ("IN.salary > 11000", GLOBAL, P2, R(20000, 1), change(P2, A={"salary": 15000}), R(35000, 2)),
+    "008 filter ok no": ("IN.salary < 25000", GLOBAL, P2, R(30000, 2), change(P2, A={"salary": 50000}), R(20000, 1)),
+    "009 filter no no": ("IN.salary > 16000", GLOBAL, P2, R(20000, 1), change(P2, A={"salary": 15000}), R(20000, 1)),
+    "010 filter flips on": ("IN.salary > 11000", TWO_SUMS, P2C, R(20000, 10, 1, names=THREE), change(P2C, A={"salary": 15000}), R(35000, 11, 2, names=THREE)),
+    "011 filter flips off": ("IN.salary < 25000", TWO_SUMS, P2C, R(30000, 11, 2, names=THREE), change(P2C, A={"salary": 50000}), R(20000, 10, 1, names=THREE)),
+    "012": ("IN.salary > 11000", BY_EMPLOYER, P4, E((15000, 1), (45000, 2)), change(P4, A={"salary": 12000}), E((27000, 2), (45000, 2))),
+    "013": ("IN.salary < 30000", BY_EMPLOYER, P4, E((25000, 2), (45000, 2)), change(P4, A={"salary": 50000}), E((15000, 1), (45000, 2))),
+    "014": ("IN.salary > 11000", BY_EMPLOYER, P4, E((15000, 1), (45000, 2)), change(P4, A={"salary": 12000, "employer": "Employer2"}), E((15000, 1), (57000, 3))),
+    "015": ("IN.salary < 30000", BY_EMPLOYER, P4, E((25000, 2), (45000, 2)), change(P4, A={"salary": 50000, "employer": "Employer2"}), E((15000, 1), (45000, 2))),
+    "016 horizontal": ("", "OUT._id <- IN._id, OUT.sum <- SUM(IN.*), OUT.count <- COUNT(IN.*)", {"A": {"v1": 10000}}, {"A": {"sum": 10000, "count": 1}}, {"A": {"v1": 10000, "v2": 15000}}, {"A": {"sum": 25000, "count": 2}}),
+    "017 copy, new cell": ("", COPY, {"A": {"salary": 10000}}, {"A": {"salary": 10000}}, {"A": {"salary": 10000, "coworkers": 1}, "B": {"salary": 20000}}, {"A": {"salary": 10000, "coworkers": 1}, "B": {"salary": 20000}}),
+    "018 copy, update": ("", COPY, {"A": {"salary": 10000}}, {"A": {"salary": 10000}}, {"A": {"salary": 15000}}, {"A": {"salary": 15000}}),
+    "019 transpose, new cell": ("", TRANSPOSE, {"A": {"salary": 10000}}, {"salary": {"A": 10000}}, {"A": {"salary": 10000, "coworkers": 1}, "B": {"salary": 20000}}, {"salary": {"A": 10000, "B": 20000}, "coworkers": {"A": 1}}),
+    "020 transpose, update": ("", TRANSPOSE, {"A": {"salary": 10000}}, {"salary": {"A": 10000}}, {"A": {"salary": 15000}}, {"salary": {"A": 15000}}),
+    "021 nothing": ("", GLOBAL, P2, R(30000, 2), P2, R(30000, 2)),
+}
+
+
+def script(store, predicate, body, snapshot=None, **parameters):
+    """A scenario in the spelling of a store."""
+    extra = "".join(f", {k} <- {v if isinstance(v, int) and not isinstance(v, bool) else str(v).lower() if isinstance(v, bool) else repr(v)}" for k, v in parameters.items())
+    if store == "mongodb":
+        source = "mongodb(database_name <- 'd', collection_name <- 'in'" + (", snapshot_collection_name <- 'old'" if snapshot else "")
+        sink = "mongodb(database_name <- 'd', collection_name <- 'out')"
+    elif store == "hbase":
+        source, sink = "hbase(table_id <- 'in'" + (", snapshot_table_id <- 'old'" if snapshot else ""), "hbase(table_id <- 'out')"
+        body = body.replace("IN.*.name()", "IN._c").replace("IN.@", "IN._v").replace("IN.*", "IN._v").replace("_id", "_r")
+        predicate = predicate.replace("_id", "_r")
+    else:
+        source, sink = "redis(database_id <- 'in'" + (", snapshot_database_id <- '10'" if snapshot else ""), "redis(database_id <- 'out')"
+        body = body.replace(COPY, "OUT._id <- IN._id, OUT._v <- IN._v").replace(TRANSPOSE, "OUT._id <- IN.*.name(), OUT._v <- OBJECT($(IN._id) <- IN.@)")
+        body, predicate = (x.replace("IN.", "IN._v.").replace("IN._v._id", "IN._id").replace("IN._v._v", "IN._v").replace("_id", "_k") for x in (body, predicate))
+    return f"IN-ENGINE: {source}{extra}), OUT-ENGINE: {sink}, " + (f"IN-FILTER: {predicate}, " if predicate else "") + body
+
+
+def put(spark, store, state, before=None, ts=None):
+    """Make a state the content of the source."""
+    if store == "hbase":
+        engine = create(spark, "hbase", {"table_id": "in"})
+        cells = [(k, "default", a, str(v)) for k, row in state.items() for a, v in row.items()]
+        cells += [(k, "default", a, None) for k, row in (before or {}).items() for a in row if a not in state.get(k, {})]
+        engine.put(spark.createDataFrame(cells, "row string, family string, column string, value string"), ts)
+        return
+    if store == "mongodb":
+        used = [a for a in ATTRIBUTES if any(a in r for r in state.values())]
+        kinds = ", ".join(["_id string", *[f"{a} {'string' if a == 'employer' else 'bigint'}" for a in used]])
+        create(spark, "mongodb", {"database_name": "d", "collection_name": "in"}).folder().replace(spark.createDataFrame([(k, *[r.get(a) for a in used]) for k, r in state.items()], kinds))
+        return
+    create(spark, "redis", {"database_id": "in"}).folder().replace(spark.createDataFrame([(k, {a: str(v) for a, v in r.items()}) for k, r in state.items()], "_id string, _v map<string,string>"))
+
+
+def held(spark, store):
+    """The sink's rows as {_id: {attribute: number}}."""
+    parameters = {"mongodb": {"database_name": "d", "collection_name": "out"}, "hbase": {"table_id": "out"}, "redis": {"database_id": "out"}}[store]
+    out = {}
+    for r in create(spark, store, parameters).read().collect():
+        row = r.asDict()
+        cells = row.get("default") or row.get("_v") if store != "mongodb" else {k: v for k, v in row.items() if k != "_id"}
+        out[row["_id"]] = {k: float(v) for k, v in cells.items() if v is not None}
+    return out
+
+
+def snapshot(spark, store):
+    parameters = {"mongodb": {"database_name": "d", "collection_name": "in", "snapshot_collection_name": "old"}, "hbase": {"table_id": "in", "snapshot_table_id": "old"}, "redis": {"database_id": "in", "snapshot_database_id": "10"}}[store]
+    create(spark, store, parameters).take_snapshot()
+
+
+@pytest.mark.parametrize("store", ["mongodb", "hbase", "redis"])
+@pytest.mark.parametrize("name", list(SCENARIOS))
+def test_snapshot(spark, stores, store, name):
+    predicate, body, state1, result1, state2, result2 = SCENARIOS[name]
+    put(spark, store, state1, ts=1000)
+    run(spark, script(store, predicate, body))
+    assert held(spark, store) == result1
+    snapshot(spark, store)
+    put(spark, store, state2, state1, ts=2000)
+    (done,) = run(spark, script(store, predicate, body, snapshot=True))
+    assert done.mode == "snapshot" and done.stored == (state1 != state2 and name[:3] != "009")
+    assert held(spark, store) == result2
+
+
+@pytest.mark.parametrize("name", [n for n in SCENARIOS if n[:3] != "002"])
+def test_timestamps_of_wide_columns(spark, stores, name):
+    predicate, body, state1, result1, state2, result2 = SCENARIOS[name]
+    put(spark, "hbase", state1, ts=1000)
+    run(spark, script("hbase", predicate, body))
+    put(spark, "hbase", state2, state1, ts=2000)
+    run(spark, script("hbase", predicate, body, timestamp=1500))
+    assert held(spark, "hbase") == result2
+
+
+def test_timestamps_inserts_only(spark, stores):
+    put(spark, "hbase", {"A": {"salary": 20000}}, ts=1000)
+    run(spark, script("hbase", "", GLOBAL))
+    put(spark, "hbase", {"B": {"salary": 15000}}, ts=2000)
+    run(spark, script("hbase", "", GLOBAL, timestamp=1500, boolean_updates_expected=False, boolean_deletes_expected=False))
+    assert held(spark, "hbase") == R(35000, 2)
+
+
+def test_timestamps_need_versions(spark, stores):
+    put(spark, "hbase", P2, ts=1000)
+    create(spark, "hbase", {"table_id": "in"}).create(max_versions=1)
+    with pytest.raises(NoVersionsError):
+        run(spark, script("hbase", "", GLOBAL, timestamp=1500))
+
+
+def test_timestamps_of_documents(spark, stores):
+    at = lambda seconds, n: f"{seconds:08x}{n:016x}"
+    put(spark, "mongodb", {at(1000, 1): {"salary": 20000}})
+    run(spark, script("mongodb", "", GLOBAL))
+    put(spark, "mongodb", {at(1000, 1): {"salary": 20000}, at(2000, 2): {"salary": 15000}})
+    run(spark, script("mongodb", "", GLOBAL, timestamp=1500000))
+    assert held(spark, "mongodb") == R(35000, 2)
+    put(spark, "mongodb", {"own": {"salary": 1}})
+    with pytest.raises(UserDefinedIdError):
+        run(spark, script("mongodb", "", GLOBAL, timestamp=1500000))
+
+
+def test_hints_must_fit_the_mode(spark, stores):
+    with pytest.raises(EngineError):
+        run(spark, script("mongodb", "", GLOBAL, timestamp=1, boolean_updates_expected=True))
+    with pytest.raises(EngineError):
+        run(spark, script("hbase", "", GLOBAL, timestamp=1, boolean_deletes_expected=True))
+
+
+@pytest.mark.parametrize("body", ["OUT._id <- 'x', OUT.a <- AVG(IN.salary)", "OUT._id <- 'x', OUT.a <- LIST(IN.salary)", "OUT._id <- 'x', OUT.a <- SUM(IN.salary) / 2", "OUT._id <- 'x', OUT.a <- MIN(IN.salary)", "OUT._id <- 'x', OUT.a <- IMPLODE(IN.salary)", "OUT.n <- COUNT(IN.salary)"])
+def test_what_cannot_be_incremental(spark, stores, body):
+    put(spark, "mongodb", P2)
+    snapshot(spark, "mongodb")
+    with pytest.raises(CompileError):
+        run(spark, script("mongodb", "", body, snapshot=True))
+
+
+def test_sums_need_a_combining_sink(spark, stores, tmp_path):
+    put(spark, "mongodb", P2)
+    snapshot(spark, "mongodb")
+    put(spark, "mongodb", change(P2, A=None))
+    text = script("mongodb", "", GLOBAL, snapshot=True).replace("mongodb(database_name <- 'd', collection_name <- 'out')", f"csv(path <- '{tmp_path}/out')")
+    with pytest.raises(CompileError):
+        run(spark, text)
+
+
+@pytest.mark.parametrize("name", list(SCENARIOS))
+def test_triggers(spark, stores, name):
+    predicate, body, state1, result1, state2, result2 = SCENARIOS[name]
+    put(spark, "mongodb", state1)
+    text = script("mongodb", predicate, body)
+    run(spark, text)
+    kind = "struct<_id:string,salary:bigint,bonus:bigint,coworkers:bigint,employer:string,v1:bigint,v2:bigint>"
+    row = lambda k, s: (k, *[s[k].get(a) for a in ("salary", "bonus", "coworkers", "employer", "v1", "v2")]) if k in s else None
+    events = spark.createDataFrame([(k, 1, row(k, state1), row(k, state2)) for k in {*state1, *state2} if row(k, state1) != row(k, state2)], f"_id string, seq int, before {kind}, after {kind}")
+    assert triggers.apply_batch(spark, text, events) == (state1 != state2 and name[:3] != "009")  # there the filter hides the change
+    assert held(spark, "mongodb") == result2
+
+
+def test_stream_of_events_is_applied_once(spark, stores, tmp_path):
+    put(spark, "mongodb", P2)
+    text = script("mongodb", "", GLOBAL)
+    run(spark, text)
+    schema = "_id string, seq int, before struct<_id:string,salary:bigint>, after struct<_id:string,salary:bigint>"
+    log = str(tmp_path / "log")
+    for batch, events in enumerate([[("A", 1, ("A", 10000), ("A", 15000)), ("A", 2, ("A", 15000), ("A", 17000))], [("C", 3, None, ("C", 1)), ("B", 4, ("B", 20000), None)]]):
+        spark.createDataFrame(events, schema).coalesce(1).write.mode("append").parquet(log)
+        for _ in range(2):  # the second run finds nothing new
+            q = triggers.start(spark, text, spark.readStream.schema(schema).parquet(log), str(tmp_path / "checkpoint"))
+            q.awaitTermination()
+        assert held(spark, "mongodb") == (R(37000, 2) if batch == 0 else R(17001, 2))
+    assert triggers.read_log(spark, log, 2).count() == 2
+
+
+def test_snapshot_slots_are_reused(spark, stores):
+    put(spark, "redis", P2)
+    for slot in range(10, 18):
+        create(spark, "redis", {"database_id": "in", "snapshot_database_id": str(slot)}).take_snapshot()
+    exists = [create(spark, "redis", {"database_id": str(s)}).folder().exists() for s in range(10, 18)]
+    assert exists == [False, False] + [True] * 6
+
+
+def test_duplicate_ids_are_found(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "_id string, v int")
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        require_unique(df, "table")
+
+
+def test_signed_rows_of_nested_columns(spark):
+    kind = "_id string, m map<string,int>, l array<int>"
+    old = spark.createDataFrame([("a", {"x": 1, "y": 2}, [1]), ("b", {}, []), ("c", None, None)], kind)
+    new = spark.createDataFrame([("a", {"y": 2, "x": 1}, [1]), ("b", {"z": 1}, []), ("d", None, [2])], kind)
+    got = sorted((r["_id"], r["_weight"]) for r in signed_diff(old, new).collect())
+    assert got == [("b", -1), ("b", 1), ("c", -1), ("d", 1)]
+
+
+rows = st.dictionaries(st.integers(0, 12), st.tuples(st.sampled_from(["x", "y", None]), st.one_of(st.none(), st.integers(-50, 50))), max_size=10)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows, rows, st.sampled_from(["", "IN-FILTER: IN.v > 0, ", "IN-FILTER: !(IN.v > 0), "]))
+def test_incremental_is_full_recomputation(spark, old, new, predicate):
+    table = lambda s: spark.createDataFrame([(k, *v) for k, v in s.items()], "_id int, g string, v int")
+    body = f"{predicate}OUT._id <- IN.g, OUT.s <- SUM(IN.v * 2 - 1), OUT.n <- COUNT(IN._id), OUT.o <- OBJECT(c <- COUNT(IN.v))"
+    (t,) = parse(f"IN-ENGINE: memory(), OUT-ENGINE: memory(), {body}")
+    got = {r["_id"]: (r["s"], r["n"], r["o"]["c"]) for r in incremental(body, table(old), table(new)).where(F.col("n") > 0).collect()}
+    full = {r["_id"]: (r["s"], r["n"], r["o"]["c"]) for r in result(spark, f"IN-ENGINE: memory(), OUT-ENGINE: memory(), {body}", table(new)).collect()}
+    assert got == full
