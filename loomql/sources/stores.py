@@ -151,18 +151,18 @@ def cells_of(result: DataFrame) -> DataFrame:
     parts: list[Column] = []
     cell = lambda family, column, value: F.struct(F.lit(family).alias("family"), column.cast("string").alias("column"), value.cast("string").alias("value"))
     shape = "array<struct<family:string,column:string,value:string>>"
+    of_map = lambda family, col: F.coalesce(F.transform(F.map_entries(col), lambda e: cell(family, e["key"], e["value"])).cast(shape), F.array().cast(shape))
     for f in result.schema.fields:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StructType):
             for g in f.dataType.fields:
                 inner = col.getField(g.name)
                 if isinstance(g.dataType, T.MapType):
-                    parts.append(F.coalesce(F.transform(F.map_entries(inner), lambda e, n=f.name: cell(n, e["key"], e["value"])).cast(shape), F.array().cast(shape)))
+                    parts.append(of_map(f.name, inner))
                 else:
                     parts.append(F.array(cell(f.name, F.lit(g.name), inner)))
         elif isinstance(f.dataType, T.MapType):
-            family = "default" if f.name == DYNAMIC else f.name
-            parts.append(F.coalesce(F.transform(F.map_entries(col), lambda e, n=family: cell(n, e["key"], e["value"])).cast(shape), F.array().cast(shape)))
+            parts.append(of_map("default" if f.name == DYNAMIC else f.name, col))
         elif f.name != "_id":
             parts.append(F.array(cell("default", F.lit(f.name), col)))
     if not parts:
