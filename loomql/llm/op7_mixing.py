@@ -64,8 +64,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def _drawn(docs: DataFrame, seed: int, row: Column | None = None) -> DataFrame:
     """Every row's size, key and key bucket (and the row itself as a struct)."""
     text = whole(F.col("text"))
-    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
-    u = (F.pmod(draw, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
+    draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long")  # 52 bits
+    u = (draw.cast("double") + 0.5) / float(1 << 52)
     kept = [] if row is None else [row.alias("row")]
     rows = docs.select(*kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), draw.alias("draw"), (-F.log(u) / quality_weight(text)).alias("mix_key"))
     return rows.withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("mix_key")))).cast("int"))
@@ -89,7 +90,7 @@ def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     clear = placed.where("bucket <> edge_bucket").withColumn("extra", ((F.col("bucket") < F.col("edge_bucket")) & (F.col("rest") > 0)).cast("long"))
     running = Window.partitionBy("source").orderBy("mix_key", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("edge_before") + F.coalesce(F.sum("size").over(running), F.lit(0))
-    at_edge = placed.where("bucket = edge_bucket").withColumn("extra", (start + F.col("size") / 2 <= F.col("rest")).cast("long"))
+    at_edge = placed.where("bucket = edge_bucket").withColumn("extra", ((start + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)).cast("long"))
     return clear.unionByName(at_edge).withColumn("copies", F.col("epochs") + F.col("extra"))
 
 
@@ -111,4 +112,30 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The mix of the contract; ``target`` is rounded to six places."""
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mix_key").withColumn("target", F.round("target", 6))
+
+
+#: The same rows without buckets: plain running sums over each source.
+ORACLE = rf"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+d AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text), 1, 13) AS BIGINT) AS draw,
+    CASE WHEN length(text) > 0 THEN greatest(0.05, 1.0::DOUBLE - CAST(length(regexp_replace(text, '[^\x21-\x2B\x2F-\x40\x5B-\x60\x7B-\x7E]+', '', 'g')) AS DOUBLE) / length(text)) ELSE 0.05 END AS w
+  FROM t),
+k AS (SELECT *, -ln((CAST(draw AS DOUBLE) + 0.5) / {1 << 52}) / w AS mix_key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+o AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * CAST({CAP} AS DOUBLE) AS most FROM s),
+l AS (
+  SELECT *, (least(CAST(sum(source_size) OVER () AS DOUBLE) * {SHARE}, sum(most) OVER ()) - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM o WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, source_size, CASE WHEN most <= weight * level THEN most ELSE weight * max(CASE WHEN most > weight * level THEN level END) OVER () END AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS epochs FROM g),
+r AS (SELECT *, greatest(0, target - epochs * source_size) AS rest FROM p),
+x AS (
+  SELECT k.*, r.source_size, r.target, r.epochs, r.rest, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY mix_key, draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source),
+y AS (SELECT *, epochs + CASE WHEN rest > 0 AND start + size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM x)
+SELECT doc_id, source, size, source_size, round(target, 6) AS target, copies, copies * size AS taken FROM y
+"""

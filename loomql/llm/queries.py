@@ -13,6 +13,7 @@ from loomql.llm.op3_toxicity import op3_toxicity
 from loomql.llm.op4_sentencepiece import op4_sentencepiece
 from loomql.llm.op5_pseudonyms import op5_pseudonyms
 from loomql.llm.op6_licenses import op6_licenses
+from loomql.llm.op7_mixing import ORACLE as MIXING
 from loomql.llm.op7_mixing import op7_mixing
 from loomql.llm.op8_transport_stream import op8_transport_stream
 from loomql.llm.op9_token_files import op9_token_files
@@ -29,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_outliers": op10_outliers,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": MIXING}
