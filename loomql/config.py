@@ -23,7 +23,10 @@ class Config:
 
     @classmethod
     def read(cls, path: str) -> Config:
-        """``key=value`` lines; # starts a comment; unknown keys raise."""
+        """``key=value`` lines; # starts a comment; unknown keys raise.
+
+        Addresses of store servers (``*_host``, ``*_port``, ``hbase_trigger_*``) are accepted and have no use here, as stores are folders.
+        """
         out, kinds = cls(), {f.name: f.type for f in fields(cls)}
         for line in Path(path).read_text().splitlines():
             line = line.split("#", 1)[0].strip()
@@ -35,7 +38,7 @@ class Config:
             elif key in kinds and key != "spark":
                 cast = {"int": int, "float": float, "bool": lambda v: v.lower() == "true"}.get(kinds[key], str)
                 setattr(out, key, cast(value))
-            else:
+            elif not key.endswith(("_host", "_port")) and not key.startswith("hbase_trigger_"):
                 raise ValueError(f"unknown setting {key}")
         return out
 

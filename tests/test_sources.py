@@ -148,7 +148,7 @@ def test_advisor_learns_and_falls_back(spark, stores):
 
 
 def test_config(tmp_path):
-    (tmp_path / "c").write_text("spark_master=local[2]\nparallelism = 3 # partitions\nkryo=true\nspark.sql.ansi.enabled=true\n")
+    (tmp_path / "c").write_text("spark_master=local[2]\nparallelism = 3 # partitions\nkryo=true\nredis_host=somewhere\nspark.sql.ansi.enabled=true\n")
     config = Config.read(str(tmp_path / "c"))
     assert (config.spark_master, config.parallelism, config.kryo, config.spark) == ("local[2]", 3, True, {"spark.sql.ansi.enabled": "true"})
     (tmp_path / "c").write_text("nonsense=1\n")
