@@ -11,8 +11,11 @@ pseudonyms in every document, different ones different pseudonyms, and whoever h
 * Pairs of numbers (dates as days in 17 x 4297, which is exactly 1900-01-01 to 2099-12-31; addresses as 2^16 x 2^16)
   go through the same network with modular addition, so no cycle walking is needed.
 
-A phone number keeps its country code, an e-mail address its top-level domain, a secret its name.  Only texts
-with a digit or an ``@`` are searched at all; everything is DataFrame expressions.
+A phone number keeps its country code, an e-mail address its top-level domain, a secret its name.  A secret is the
+run of letters, digits and ``+/_-.`` after a name such as ``token`` and a colon or equals sign, of any length, if it
+holds a digit; one of more than ``PART`` characters is permuted in parts.  Upper-case words or numbers that an IBAN
+stands next to are tried with and without.  Only texts with a digit or an ``@`` are searched at all; everything is
+DataFrame expressions.
 
 Defined cases: a null text stays null and has no findings, an empty one stays empty; numbers that fail their
 check stay; repeated rows all stay; an empty table gives none; extra columns are kept as they are whatever their
@@ -28,18 +31,23 @@ ROUNDS = 8
 KEY = "change-this-key"
 KINDS = ("email", "secret", "iban", "ip", "phone", "date", "ssn", "card")
 
-#: Patterns of each kind, tried in this order at every place.
+#: Patterns of each kind, tried in this order at every place; group 1 of the whole is the secret.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"""(?<=["'=:\s])(?<=(?i:token|secret|api.?key|passw(?:or)?d)["']?\s{0,3}[:=]\s{0,3}["']?)(?=[A-Za-z+/_\-]{0,128}[0-9])[A-Za-z0-9+/_\-]{16,128}(?![A-Za-z0-9+/_\-])""",
+    "secret": r"""((?<=["'=:\s])(?<=(?i:token|secret|api.?key|passw(?:or)?d)["']?\s{0,3}[:=]\s{0,3}["']?)(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]*[A-Za-z0-9+/_\-])""",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z.\-])[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])",
-    "date": r"(?<![0-9A-Za-z.\-/])(?:(?:19|20)[0-9]{2}([\-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([\-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[\-/.][0-9])",
+    "date": r"(?<![0-9A-Za-z.\-/])(?:(?:19|20)[0-9]{2}([\-/.])[0-9]{1,2}\2[0-9]{1,2}|[0-9]{1,2}([\-/.])[0-9]{1,2}\3(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[\-/.][0-9])",
     "ssn": r"(?<![0-9A-Za-z\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{4}([ \-])[0-9]{6}\4[0-9]{5})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\4[0-9]{4}\4[0-9]{4}|[0-9]{4}([ \-])[0-9]{6}\5[0-9]{5})(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
+#: What a secret's name needs; texts without it are not searched for secrets once more.
+NAMES = r"(?i)token|secret|api.?key|passw(?:or)?d"
+#: Longer secrets are permuted in parts of at most so many characters, as a permutation's cost grows with the square of its length.
+PART = 128
+_PIECES = "array<struct<kind: string, v: string>>"
 
 
 def _sql(text: str) -> str:
@@ -47,14 +55,17 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _shift(key: str, tag: str, turn: str, other: str, at: str) -> str:
+def _shift(key: str, tag: str, turn: str, other: str, at: str, tweak: str = "''") -> str:
     """The keyed number that round ``turn`` adds at place ``at``, from the joined other half."""
-    digest = f"sha2(concat({_sql(key + '|' + tag + '|')}, {turn}, '|', array_join({other}, ',')), 512)"
+    digest = f"sha2(concat({_sql(key + '|' + tag + '|')}, {turn}, '|', {tweak}, array_join({other}, ',')), 512)"
     return f"cast(conv(substring({digest}, 4 * ({at} % 32) + 1, 4), 16, 10) as int)"
 
 
-def feistel_text(value: str, key: str, tag: str, hexadecimal: bool = False) -> str:
-    """SQL for the pseudonym of string ``value`` (an SQL expression): characters permuted within their classes."""
+def feistel_text(value: str, key: str, tag: str, hexadecimal: bool = False, tweak: str = "''") -> str:
+    """SQL for the pseudonym of string ``value`` (an SQL expression): characters permuted within their classes.
+
+    Each value of ``tweak`` (an SQL expression) has its own permutation.
+    """
     chars = f"regexp_extract_all({value}, '(?s).', 0)"
     if hexadecimal:
         code = "instr('0123456789abcdef', c) - 1"
@@ -69,8 +80,8 @@ def feistel_text(value: str, key: str, tag: str, hexadecimal: bool = False) -> s
     half = f"int(size({moved}) / 2)"
     start = f"named_struct('l', transform(slice({moved}, 1, {half}), x -> x.v), 'r', transform(slice({moved}, {half} + 1, 1000000), x -> x.v))"
     left_r, right_r = f"transform(slice({moved}, 1, {half}), x -> x.r)", f"transform(slice({moved}, {half} + 1, 1000000), x -> x.r)"
-    go_left = f"transform(s.l, (x, i) -> (x + {_shift(key, tag, 'k', 's.r', 'i')}) % element_at({left_r}, i + 1))"
-    go_right = f"transform(s.r, (x, i) -> (x + {_shift(key, tag, 'k', 's.l', 'i')}) % element_at({right_r}, i + 1))"
+    go_left = f"transform(s.l, (x, i) -> (x + {_shift(key, tag, 'k', 's.r', 'i', tweak)}) % element_at({left_r}, i + 1))"
+    go_right = f"transform(s.r, (x, i) -> (x + {_shift(key, tag, 'k', 's.l', 'i', tweak)}) % element_at({right_r}, i + 1))"
     ends = f"aggregate(sequence(1, {ROUNDS}), {start}, (s, k) -> if(k % 2 = 1, named_struct('l', {go_left}, 'r', s.r), named_struct('l', s.l, 'r', {go_right})), s -> concat(s.l, s.r))"
     letter = "substring('0123456789abcdef', element_at(vs, n) + 1, 1)" if hexadecimal else "char(x.a + element_at(vs, n))"
     out = f"array_join(transform(cs, (x, i) -> if(x.r = 1, x.c, transform(array(size(filter(slice(cs, 1, i + 1), y -> y.r > 1))), n -> {letter})[0])), '')"
@@ -105,9 +116,36 @@ def _iban_rest(body_then_head: str) -> str:
     return f"aggregate(regexp_extract_all(replace({body_then_head}, ' ', ''), '.', 0), 0, (a, c) -> if(c BETWEEN '0' AND '9', (a * 10 + int(c)) % 97, (a * 100 + ascii(c) - 55) % 97))"
 
 
+def _iban_holds(m: str) -> str:
+    """SQL for whether a value of an IBAN's shape passes its check."""
+    return f"(length(replace({m}, ' ', '')) >= 15 AND {_iban_rest(f'concat(substring({m}, 5), substring({m}, 1, 4))')} = 1)"
+
+
+def _iban_pieces(m: str) -> str:
+    """SQL for the pieces (kind, v) of a match of the IBAN pattern, which also takes groups that follow or precede the IBAN.
+
+    From each group on, the longest run of whole groups that passes the check is the IBAN; what is
+    left in between (kind null) is searched for the other kinds.  A match without any finding is one piece.
+    """
+    run = "array_join(slice(ws, i, n), ' ')"
+    runs = f"filter(transform(sequence(size(ws) - i + 1, 1, -1), n -> {run}), r -> r RLIKE '^[A-Z]{{2}}[0-9]{{2}}[ A-Z0-9]+$' AND {_iban_holds('r')})"
+    space = "if(i = 1, '', ' ')"
+    plain = f"named_struct('p', s.p, 'left', concat(s.left, {space}, ws[i - 1]), 'next', i + 1)"
+    found = f"named_struct('p', concat(s.p, array(named_struct('kind', cast(null as string), 'v', concat(s.left, {space})), named_struct('kind', 'iban', 'v', r))), 'left', '', 'next', i + size(split(r, ' ')))"
+    step = f"if(i < s.next, s, transform(array(get({runs}, 0)), r -> if(r IS NULL, {plain}, {found}))[0])"
+    scan = f"aggregate(sequence(1, size(ws)), named_struct('p', cast(array() as {_PIECES}), 'left', '', 'next', 1), (s, i) -> {step}, s -> concat(s.p, array(named_struct('kind', cast(null as string), 'v', s.left))))"
+    rest = _sql("|".join(PATTERNS[k] for k in KINDS).replace(PATTERNS["iban"], "(?!)"))
+    hits = f"transform(regexp_extract_all(p.v, {rest}, 0), v -> named_struct('kind', {_kind_of('v')}, 'v', v))"
+    gaps = f"transform(split(p.v, {rest}, -1), v -> named_struct('kind', cast(null as string), 'v', v))"
+    inside = f"flatten(zip_with({gaps}, {hits}, (g, h) -> if(h IS NULL, array(g), array(g, h))))"
+    pieces = f"transform(array(split({m}, ' ')), ws -> flatten(transform({scan}, p -> if(p.kind IS NULL, {inside}, array(p)))))[0]"
+    whole = f"array(named_struct('kind', 'iban', 'v', {m}))"
+    return f"if({_iban_holds(m)}, {whole}, transform(array({pieces}), ps -> if(exists(ps, p -> p.kind IS NOT NULL), ps, {whole}))[0])"
+
+
 def _iban(m: str, key: str) -> str:
-    country, check, body = f"substring({m}, 1, 2)", f"substring({m}, 3, 2)", f"substring({m}, 5)"
-    ok = f"{_iban_rest(f'concat({body}, {country}, {check})')} = 1 AND length(replace({m}, ' ', '')) >= 15"
+    country, body = f"substring({m}, 1, 2)", f"substring({m}, 5)"
+    ok = _iban_holds(m)
     new_check = f"lpad(string(98 - {_iban_rest(f'''concat(b, {country}, '00')''')}), 2, '0')"
     return f"if({ok}, transform(array({feistel_text(body, key, 'iban')}), b -> concat({country}, {new_check}, b))[0], {m})"
 
@@ -140,9 +178,15 @@ def _email(m: str, key: str) -> str:
 
 
 def _secret(m: str, key: str) -> str:
-    lower = f"lower({m})"
-    as_hex = feistel_text(lower, key, "secret", hexadecimal=True)
-    return f"CASE WHEN {m} RLIKE '^[0-9a-f]+$' THEN {as_hex} WHEN {m} RLIKE '^[0-9A-F]+$' THEN upper({as_hex}) ELSE {feistel_text(m, key, 'secret')} END"
+    def made(value: str, hexadecimal: bool = False) -> str:
+        parts = f"int(ceil(length(u) / {PART}))"
+        size = f"int(ceil(length(u) / {parts}))"
+        tweak = f"if({parts} = 1, '', concat(j, '|'))"
+        part = feistel_text(f"substring(u, j * {size} + 1, {size})", key, "secret", hexadecimal, tweak)
+        return f"transform(array({value}), u -> array_join(transform(sequence(0, {parts} - 1), j -> {part}), ''))[0]"
+
+    as_hex = made(f"lower({m})", hexadecimal=True)
+    return f"CASE WHEN {m} RLIKE '^[0-9a-f]+$' THEN {as_hex} WHEN {m} RLIKE '^[0-9A-F]+$' THEN upper({as_hex}) ELSE {made(m)} END"
 
 
 def _phone(m: str, key: str) -> str:
@@ -157,7 +201,7 @@ def pseudonym(kind: str, m: str, key: str) -> str:
 
 
 def _kind_of(m: str) -> str:
-    """SQL for the kind of a match, by its own shape (the places around it were checked when it was found)."""
+    """SQL for the kind of a match that is no secret, by its own shape (the places around it were checked when it was found)."""
     plain = {
         "email": "@",
         "iban": "^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$",
@@ -165,9 +209,8 @@ def _kind_of(m: str) -> str:
         "date": r"^([0-9]{4}([-/.])[0-9]{1,2}\\2[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\\3[0-9]{4})$",
         "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
         "card": r"^([0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\\2[0-9]{4}\\2[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\\3[0-9]{5})$",
-        "phone": "^[+(]|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$",
     }
-    return "CASE " + " ".join(f"WHEN {m} RLIKE '{p}' THEN '{k}'" for k, p in plain.items()) + " ELSE 'secret' END"
+    return "CASE " + " ".join(f"WHEN {m} RLIKE '{p}' THEN '{k}'" for k, p in plain.items()) + " ELSE 'phone' END"
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
@@ -176,12 +219,16 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataF
     searched = F.when(F.regexp_like(text, F.lit("[0-9@]")), text)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t"), F.regexp_extract_all(searched, F.lit(ANY), F.lit(0)).alias("m"))
     rows = rows.withColumn("m", F.when(F.size("m") > 0, F.col("m")))
-    kinds = F.expr(f"transform(m, v -> named_struct('kind', {_kind_of('v')}, 'v', v))")
-    rows = rows.withColumn("k", kinds)
-    replaced = "CASE " + " ".join(f"WHEN x.kind = '{k}' THEN {pseudonym(k, 'x.v', key)}" for k in KINDS) + " END"
-    rows = rows.withColumn("found", F.expr(f"transform(k, x -> transform(array({replaced}), p -> named_struct('kind', x.kind, 'pseudonym', p, 'changed', p != x.v))[0])"))
+    rows = rows.withColumn("secrets", F.when(F.col("m").isNotNull() & F.regexp_like("t", F.lit(NAMES)), F.regexp_extract_all("t", F.lit(ANY), F.lit(1))))
+    kind = f"if(get(secrets, i) != '', 'secret', {_kind_of('v')})"  # the pattern says what is a secret: it may look like any other kind
+    pieces = f"transform(array({kind}), kind -> if(kind = 'iban', {_iban_pieces('v')}, array(named_struct('kind', kind, 'v', v))))[0]"
+    rows = rows.withColumn("k", F.expr(f"transform(m, (v, i) -> {pieces})"))
+    replaced = "CASE " + " ".join(f"WHEN x.kind = '{k}' THEN {pseudonym(k, 'x.v', key)}" for k in KINDS) + " ELSE x.v END"
+    rows = rows.withColumn("done", F.expr(f"transform(k, xs -> transform(xs, x -> transform(array({replaced}), p -> named_struct('kind', x.kind, 'pseudonym', p, 'changed', p != x.v))[0]))"))
+    rows = rows.withColumn("found", F.expr("filter(flatten(done), f -> f.kind IS NOT NULL)"))
     between = F.split("t", ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(F.transform("found", lambda f: f["pseudonym"]), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    shown = F.transform("done", lambda fs: F.array_join(F.transform(fs, lambda f: f["pseudonym"]), ""))
+    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(shown, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     return rows.select("row", F.when(F.col("found").isNull(), F.col("t")).otherwise(joined).alias("text"), "found")
 
 

@@ -72,6 +72,32 @@ def test_secrets(spark):
     assert "1eb9c654" not in lower and "9233A8EC" not in upper
 
 
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+
+
+def test_secrets_of_any_length_and_shape(spark):
+    values = ["gh12cd34ef", "hunter2", JWT, "1234567890123456", "AK12ABCDEFGHIJKLMNOP", "2024-01-02", "+14155552671", "aB3" * 43, "0f" * 300, "Zx9-" * 5000]
+    for value, after in zip(values, replaced(spark, [f"api_key={v}. end" for v in values])):
+        assert after.startswith("api_key=") and after.endswith(". end") and len(after) == len(value) + 13
+        new = after[8:-5]
+        assert new != value and (re.fullmatch("[0-9a-f]+", new) if re.fullmatch("[0-9a-f]+", value) else shape(new) == shape(value))
+        assert not set(re.findall("[A-Za-z0-9_]{12,}", value)) & set(re.findall("[A-Za-z0-9_]{12,}", new))
+    df = spark.createDataFrame([(0, "token=1234567890123456 card 4111111111111111")], "doc_id int, text string")
+    assert [f["kind"] for f in op.pseudonymise(df).first()["found"]] == ["secret", "card"]
+
+
+def test_ibans_beside_other_words(spark):
+    value = "BE68 5390 0754 7034"
+    (alone,) = replaced(spark, [value])
+    assert iban(alone) and alone != value
+    around = ["PAY {} NOW", "{} THEN", "{} NOWHERE TO", "AC12 {}", "AB12 CD34 {} OK", "{} {}", "to {}, or {} A1"]
+    assert replaced(spark, [t.replace("{}", value) for t in around]) == [t.replace("{}", alone) for t in around]
+    card, together = replaced(spark, ["4111 1111 1111 1111", f"{value} 4111 1111 1111 1111"])
+    assert together == f"{alone} {card}"
+    assert replaced(spark, ["AB12 4111 1111 1111 1111"]) == [f"AB12 {card}"]
+    assert replaced(spark, ["AB12 CDEF GHIJ KLMN"]) == ["AB12 CDEF GHIJ KLMN"]
+
+
 def test_permutations_are_permutations(spark):
     """Every value of a small domain has its own image in the domain."""
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
