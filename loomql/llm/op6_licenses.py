@@ -5,9 +5,9 @@ Base: the places where a phrase's words stand next to each other.  The method ad
 1. the postings of all templates list, for each licence word, (template, position in the template);
 2. every text's licence words come with their positions; document frequencies of these words over all texts
    give their IDF (at most as many words as the templates have);
-3. a text looks up its ``RARE`` licence words of highest IDF in the postings; a hit votes for (template,
-   place of the template's first word in the text), and votes within ``SLACK`` words of each other add up,
-   each word of the template once;
+3. a text looks up all its licence words in the postings; a hit votes for (template, place of the
+   template's first word in the text), and votes within ``SLACK`` words of each other add up, each word
+   of the template once;
 4. a template whose votes hold at least ``ENOUGH`` of the IDF of its own ``RARE`` rarest words is a
    candidate, and becomes a label if one of its mandatory key phrases occurs in the text.
 
@@ -119,11 +119,7 @@ def _votes(rows: DataFrame, idf: dict[str, float]) -> DataFrame:
     spark = rows.sparkSession
     table = F.broadcast(spark.createDataFrame([(w, float(idf[w]), [{"template": t, "k": k} for t, k in at]) for w, at in index.items()], f"word string, idf double, at {_VOTE}"))
     totals = F.broadcast(spark.createDataFrame([(t, float(v)) for t, v in total.items()], "template string, total double"))
-    order = {w: i for i, (w, _) in enumerate(sorted(((w, idf[w]) for w in index), key=lambda x: (-x[1], x[0])))}
-    rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    rarest = F.slice(F.array_sort(F.filter(F.transform(F.array_distinct(F.transform("hits", lambda h: h["word"])), lambda w: F.struct(F.element_at(rank, w).alias("r"), w.alias("word"))), lambda x: x["r"].isNotNull())), 1, RARE)
-    some = rows.where("size(hits) > 0 and size(keyed) > 0").withColumn("rarest", F.transform(rarest, lambda x: x["word"]))
-    hits = some.select("id", "rarest", F.explode("hits").alias("h")).where(F.array_contains("rarest", F.col("h.word")))
+    hits = rows.where("size(hits) > 0 and size(keyed) > 0").select("id", F.explode("hits").alias("h"))
     votes = hits.join(table, F.col("h.word") == F.col("word")).select("id", "h.i", "word", "idf", F.explode("at").alias("v")).select("id", "word", "idf", F.col("v.template").alias("template"), (F.col("i") - F.col("v.k")).alias("start"))
     width = 2 * SLACK + 2  # two votes within SLACK share a cell of one of two grids
     cells = F.explode(F.array(F.struct(F.lit(0).alias("g"), F.floor(F.col("start") / width).alias("c")), F.struct(F.lit(1).alias("g"), F.floor((F.col("start") + SLACK + 1) / width).alias("c")))).alias("cell")

@@ -56,6 +56,15 @@ def test_the_method_adds_labels(spark, rng, label):
     assert all(rows[i]["labels"] == "" and rows[i]["score"] == 0 for i in rows if i != 30)
 
 
+def test_every_notice_of_a_text_counts(spark, rng):
+    full = f"{prose(rng, 40)} ".join(op.TEMPLATES[t][0] + " " for t in op.TEMPLATES)
+    some = f"{NOTICES['mit']} {prose(rng, 30)} {NOTICES['bsd']} {prose(rng, 30)} {NOTICES['mpl']} {prose(rng, 30)} {NOTICES['isc']}"
+    rows = op.scan(spark.createDataFrame([(0, full), (1, some), *[(i, prose(rng, 50)) for i in range(2, 20)]], "doc_id long, text string")).collect()
+    labels = {r["doc_id"]: r["labels"] for r in rows}
+    assert labels[0] == ",".join(sorted({op.LABEL_OF.get(t, t) for t in op.TEMPLATES})) and labels[1] == "bsd,isc,mit,mpl"
+    assert not any(labels[i] for i in range(2, 20))
+
+
 def test_scattered_words_and_missing_key_phrases_do_not_count(spark):
     scattered = " and ".join(NOTICES["mpl"].split()[::-1])
     no_key = NOTICES["mpl"].replace("Mozilla Public License", "Mozilla Private License")
