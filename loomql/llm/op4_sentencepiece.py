@@ -21,7 +21,7 @@ character among them), and a worker remembers the paths of words and parts it ha
 
 Defined cases: a null text is an empty one and has no ids; an empty text has no ids; repeated rows
 all stay; an empty table gives none; other columns of the input are ignored.  Decoding gives the
-text back except that U+2581 itself comes back as a space.
+text back except that U+2581 itself comes back as a space; null ids are decoded as none.
 """
 
 from __future__ import annotations
@@ -230,5 +230,21 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_piece_batches(model or default_model()), schema)
 
 
+def _text_batches(path: str):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = transducer(path)
+        for batch in batches:
+            texts = pa.array([code.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
+
+    return work
+
+
+def decode_documents(coded: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, text) for every row of ``coded`` (doc_id, ids): the text that the piece ids stand for."""
+    rows = coded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))
+    return rows.mapInArrow(_text_batches(model or default_model()), "doc_id long, text string")
+
+
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
+    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

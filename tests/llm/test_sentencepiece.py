@@ -69,3 +69,16 @@ def test_query_and_awkward_rows(spark, odd, empty, library):
     assert by == sorted((repr(i), library.encode(t or "")) for i, t in texts_of(odd))
     assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in rows)
     assert op.encode_documents(empty).count() == 0
+
+
+def test_query_returns_ids_and_they_decode(spark, odd, empty, docs, small, library):
+    rows = {r["doc_id"]: r for r in op.op4_sentencepiece(spark, small).collect()}
+    assert {i: r["ids"] for i, r in rows.items()} == {i: library.encode(t) for i, t in texts_of(docs)}
+    for df in (docs, odd):
+        back = op.decode_documents(op.encode_documents(df))
+        assert back.columns == ["doc_id", "text"]
+        assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=repr) == sorted(((i, (t or "").replace("▁", " ")) for i, t in texts_of(df)), key=repr)
+    ids = [([],), (None,), ([3 + 0xC3],), (library.encode("a b"),)]
+    got = op.decode_documents(spark.createDataFrame([(k, *x) for k, x in enumerate(ids)], "doc_id long, ids array<int>")).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [library.decode(x or []) for x, in ids]
+    assert op.decode_documents(op.encode_documents(empty)).count() == 0
