@@ -1,31 +1,19 @@
 """SentencePiece encoding and decoding as a shortest path through a weighted transducer.
 
-``Transducer`` compiles a model file into four parts that are composed with each input:
-
-* normaliser: a space becomes U+2581 and one is put in front of a text that isn't empty;
-* pieces: one arc for each piece, reading its characters, writing its id, weighing its negated score;
-* byte fallback: a character that is no piece goes through one arc for each of its UTF-8 bytes;
-* merge constraint: the state after an arc is the piece it wrote, and an arc for piece ``q`` leaves
-  state ``p`` only if the merges that built ``p`` and ``q`` would not also have joined the two.  A
-  sequence of pieces is what the model's merge order yields exactly when each adjacent pair
-  is (the first merge that crossed a boundary would cross it in that pair alone as well), so
-  for a merge model the accepted paths are the library's own segmentation, and for a unigram
-  model, compiled without this constraint, they are all segmentations.
-
-``shortest_path`` is the tropical-semiring (min, +) forward pass.  One state a position is enough: with the
-constraint no position can be reached in two states, without it the least one dominates.  Where two
-characters stand next to each other in no piece, the composed machine falls apart: a text's path is
-the chain of the paths of its parts between such places (before every U+2581 that follows another
-character among them), and a worker remembers the paths of words and parts it has seen (at most
-``CACHE_WORDS`` of either).
-
-Defined cases: a null text is an empty one and has no ids; an empty text has no ids; repeated rows
-all stay; an empty table gives none; other columns of the input are ignored.  Decoding gives the
-text back except that U+2581 itself comes back as a space; null ids are decoded as none.
+``loomql.llm.transducer`` compiles a model file and finds least paths.  A text is normalised whole and cut
+before every space that follows another character, where no piece can reach across; the paths of such words
+are found together, as arrays, and a worker remembers those of short words in at most ``CACHE_BYTES``, whatever the texts
+hold: of two generations of words the older goes when the younger is full.  Batches are small (``batches.bound_batches``) and a text is held by itself, so memory follows the longest text.
+
+Defined cases: a null text is an empty one and has no ids; an empty text has no ids; a very long text, with or
+without spaces, is encoded whole; repeated rows all stay; an empty table gives none; other columns of the input are
+ignored whatever their names.  Decoding gives the text back except that U+2581 itself comes back as a space; null ids are
+decoded as none.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -35,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomql.llm.batches import groups
+from loomql.llm.batches import bound_batches, held, runs
+from loomql.llm.transducer import SPACE, Transducer
 
-CACHE_WORDS = 300_000
-SPACE = "▁"
-NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+CACHE_BYTES = 40 << 20
+LONGEST_KEPT, WORD_BYTES = 40, 190
+_WORD = re.compile(" *[^ ]+| +")
 
 
 def default_model() -> str:
@@ -48,174 +37,58 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Transducer:
-    """A compiled SentencePiece model: ``encode`` and ``decode`` between texts and piece ids."""
-
-    def __init__(self, path: str):
-        from sentencepiece import sentencepiece_model_pb2 as pb
-
-        model = pb.ModelProto()
-        with open(path, "rb") as file:
-            model.ParseFromString(file.read())
-        spec = model.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not model.trainer_spec.byte_fallback:
-            raise ValueError("only models with the identity normaliser, a dummy prefix and byte fallback are compiled")
-        self.constrained = model.trainer_spec.model_type == pb.TrainerSpec.BPE
-        self.id_of: dict[str, int] = {}
-        self.weight: dict[str, float] = {}
-        self.byte_id = [0] * 256
-        self.bytes_of: list[bytes] = []
-        for i, piece in enumerate(model.pieces):
-            if piece.type == NORMAL:
-                self.id_of[piece.piece] = i
-                self.weight[piece.piece] = -piece.score
-            elif piece.type == BYTE:
-                self.byte_id[int(piece.piece[1:-1], 16)] = i
-            elif piece.type in (USER, UNUSED):
-                raise ValueError("user-defined and unused pieces are not compiled")
-            raw = bytes([int(piece.piece[1:-1], 16)]) if piece.type == BYTE else b"" if piece.type != NORMAL else piece.piece.replace(SPACE, " ").encode()
-            self.bytes_of.append(raw)
-        if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
-            raise ValueError("a piece crosses a word boundary")
-        self.inner = {pair for p in self.id_of for pair in zip(p, p[1:])}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.arcs: dict[str, float | None] = {}  # a piece's weight; None for what only begins one
-        for p in self.id_of:
-            if not self.constrained or self.merged(p) == [p]:
-                self.arcs |= {p[:k]: None for k in range(1, len(p)) if p[:k] not in self.arcs}
-                self.arcs[p] = self.weight[p]
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """Segments of ``text`` by the model's merge order: cheapest joined piece first, leftmost on a tie."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [(self.weight[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.weight]
-            if not found:
-                break
-            i = min(found)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def follows(self, p: str, q: str) -> bool:
-        """Whether the constraint lets an arc for ``q`` leave state ``p``."""
-        ok = self.pairs.get((p, q))
-        if ok is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            ok = self.pairs[p, q] = self.merged(p + q) == [p, q]
-        return ok
-
-    def shortest_path(self, text: str) -> tuple[float, list[str]]:
-        """(weight, pieces) of the least path over normalised ``text``; a character without a piece stands for itself."""
-        arcs, n, missing = self.arcs, len(text), -1.0
-        state: list[str | None] = [""] + [None] * n
-        weight = [0.0] * (n + 1)
-        for start in range(n):
-            p = state[start]
-            if p is None:
-                continue
-            here, end = weight[start], start + 1
-            q = text[start:end]
-            w = arcs.get(q, missing)
-            if w is missing:
-                w = 0.0  # the byte arcs
-            while True:
-                if w is not None and (state[end] is None or here + w < weight[end]) and (not p or not self.constrained or self.follows(p, q)):
-                    state[end], weight[end] = q, here + w
-                end += 1
-                if end > n:
-                    break
-                q = text[start:end]
-                w = arcs.get(q, missing)
-                if w is missing:
-                    break
-        pieces, at = [], n
-        while at:
-            pieces.append(state[at])
-            at -= len(pieces[-1])
-        return weight[n], pieces[::-1]
-
-    def _ids(self, word: str) -> bytes:
-        """Little-endian ids of a word's least path."""
-        out: list[int] = []
-        for part in self.shortest_path(word)[1]:
-            if (i := self.id_of.get(part)) is not None:
-                out.append(i)
-            else:
-                out += [self.byte_id[b] for b in part.encode()]
-        return np.array(out, dtype="<u4").tobytes()
-
-    def _joined(self, text: str) -> bytes:
-        """Ids of normalised ``text`` from the remembered paths of its parts."""
-        inner, parts, out, start = self.inner, self.parts, [], 0
-        for end in [i for i, pair in enumerate(zip(text, text[1:]), 1) if pair not in inner] + [len(text)]:
-            part = text[start:end]
-            if (ids := parts.get(part)) is None:
-                ids = parts[part] = self._ids(part)
-            out.append(ids)
-            start = end
-        return b"".join(out)
-
-    def _learn(self, words: set[str]) -> set[str]:
-        """Remembers words; returns those that don't end where the text has its next space."""
-        odd = {w for w in words if not w or w[-1] == SPACE or w[0] == SPACE}
-        for w in words - odd:
-            self.words[w] = self._joined(SPACE + w)
-        return odd
+class Encoder:
+    """A transducer with a bounded memory of words' ids."""
+
+    def __init__(self, model: str | bytes):
+        self.machine = Transducer(model)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # estimated bytes of the younger generation
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {}
-        parts = [t.split(" ") for t in texts]
-        unknown = set(chain.from_iterable(parts)).difference(self.words)
-        odd = self._learn(unknown) if unknown else set()
-        get, out = self.words.__getitem__, []
-        for t, p in zip(texts, parts):
-            if not t:
-                out.append(b"")
-            elif odd and not odd.isdisjoint(p):
-                out.append(self._joined(SPACE + t.replace(" ", SPACE)))
-            else:
-                out.append(b"".join(map(get, p)))
-        return out
+        cut = [_WORD.findall(self.machine.normalise(t)) for t in texts]
+        wanted = set(chain.from_iterable(cut)).difference(self.young)
+        if wanted:
+            found = {w: self.old[w] for w in wanted if w in self.old}
+            new = [w for w in wanted if w not in found]
+            found.update(zip(new, (x.tobytes() for x in self.machine.shortest_paths(new)[0])))
+            short = {w: x for w, x in found.items() if len(w) <= LONGEST_KEPT}
+            self.young.update(short)
+            self.held += sum(map(len, short.values())) + WORD_BYTES * len(short)
+            known = self.young if len(short) == len(found) else {**self.young, **found}
+        else:
+            known = self.young
+        if self.held > CACHE_BYTES // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``, without the space that the normaliser put in front."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return raw.decode(errors="replace").removeprefix(" ")
-
-
-_MODELS: dict[str, Transducer] = {}
+        return self.machine.decode(ids)
 
 
-def transducer(path: str) -> Transducer:
-    if path not in _MODELS:
-        _MODELS[path] = Transducer(path)
-    return _MODELS[path]
+def encoder(model: str) -> Encoder:
+    """This worker's encoder for a model file."""
+    return held(("sentencepiece", model), lambda: Encoder(model))
 
 
 def _piece_batches(path: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = transducer(path)
+        code = encoder(path)
         for batch in batches:
-            at = 0
-            for run in groups([x or "" for x in batch.column(1).to_pylist()]):
-                ids = code.encode(run)
+            for part, texts in runs(batch, 1):
+                ids = code.encode(texts)
                 lists = [np.frombuffer(x, dtype="<u4") for x in ids]
                 back = [code.decode(x.tolist()).encode() for x in lists]
                 offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).astype(np.int32)))
-                same = [b == t.replace(SPACE, " ").encode() for b, t in zip(back, run)]
+                same = [b == t.replace(SPACE, " ").encode() for b, t in zip(back, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(run)), column, pa.array([len(x) for x in lists], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([zlib.crc32(b) for b in back], pa.int64()), pa.array(same)],
+                    [part.column(0), column, pa.array([len(x) for x in lists], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([zlib.crc32(b) for b in back], pa.int64()), pa.array(same)],
                     ["doc_id", "ids", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"],
                 )
-                at += len(run)
 
     return work
 
@@ -226,22 +99,26 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     ``ids`` are the piece ids; the crc32 values are unsigned, of the ids as little-endian unsigned 32-bit
     integers and of the UTF-8 text decoded from them; ``round_trip`` tells whether that text is the input.
     """
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_piece_batches(model or default_model()), schema)
 
 
 def _text_batches(path: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = transducer(path)
+        code = encoder(path)
         for batch in batches:
-            texts = pa.array([code.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = pa.array([code.decode(x or []) for x in part.column(1).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], ["doc_id", "text"])
 
     return work
 
 
 def decode_documents(coded: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, text) for every row of ``coded`` (doc_id, ids): the text that the piece ids stand for."""
+    bound_batches(coded.sparkSession)
     rows = coded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))
     return rows.mapInArrow(_text_batches(model or default_model()), "doc_id long, text string")
 
