@@ -18,10 +18,13 @@ The search therefore
 A key that holds more than ``BLOCK`` fingerprints is cut into blocks and all pairs of
 blocks are compared in different tasks.
 
+A fingerprint that many rows share is joined to its component by broadcast: at most ``HOT`` fingerprints can hold more than
+that part of the rows each.  Texts themselves are shuffled once, and only where rows are chosen (``representatives``).
+
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and
-is linked like any other; null doc_ids are never the smallest, so a component of null ids
-has a null id; repeated rows are returned as often as they occur; other columns of the
-input are ignored.
+is linked like any other; a very long text is read whole, its hashes in blocks; null doc_ids are never the smallest, so a
+component of null ids has a null id; repeated rows are returned as often as they occur; an empty table gives none; other
+columns of the input are ignored by ``near_duplicates`` and kept by ``representatives``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomql.llm.batches import bound_batches, release, runs
 from loomql.operators.components import connected_components
 from loomql.plans.scratch import cut, small_side
 
@@ -44,6 +48,7 @@ SHINGLE = 3
 SEGMENT = 16
 SEGMENTS = 4
 BLOCK = 4096
+HOT = 1000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -64,14 +69,20 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _values(texts: list[str]) -> np.ndarray:
+    return np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts)).view(np.int64)
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
-        values = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        for part, texts in runs(batch, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_values(texts))], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) with fp the fingerprint as a signed long."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
@@ -207,7 +218,7 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _classes(nodes: DataFrame) -> DataFrame:
-    """(fp, least_id, root): the component root of every distinct fingerprint; ``nodes`` are (fp, least_id)."""
+    """``nodes`` (one row a distinct ``fp``) with the ``root`` of its component."""
     roots = connected_components(links(nodes.select("fp")))
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -215,25 +226,49 @@ def _classes(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
     marks = cut(fingerprints(docs))
-    named = _classes(cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id"))))
+    named = _classes(cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = cut(named.join(least, "root").select("fp", "component_id"))
-    return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = cut(named.join(least, "root").select("fp", "component_id", "n"))
+    most = (classes.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = F.broadcast(classes.where(F.col("n") > most))  # fewer than HOT rows
+    if hot.isEmpty():
+        found = marks.join(classes, "fp")
+    else:
+        rest = marks.join(hot.select("fp"), "fp", "left_anti").join(classes.where(F.col("n") <= most), "fp")
+        found = marks.join(hot, "fp").unionByName(rest)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: the one of least doc_id, null last."""
-    nodes = cut(fingerprints(docs).groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    """One row of ``docs`` for each component, with all its columns: the one of least doc_id, null last.
+
+    Chosen rows are found by their doc_id; only those whose doc_id is null or occurs twice are found by their fingerprint as well.
+    """
+    marks = cut(fingerprints(docs))
+    nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     order = F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id"), F.col("fp"))
     chosen = cut(_classes(nodes).groupBy("root").agg(F.min(order).alias("c")).select("c.fp", "c.least_id"))
-
-    @F.pandas_udf("long")
-    def fp_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), fp_of(F.col("text").cast("string")).alias("f"))
-    kept = rows.join(small_side(chosen), (F.col("f") == F.col("fp")) & F.col("id").eqNullSafe(F.col("least_id")))
-    return kept.select("row", "fp").dropDuplicates(["fp"]).select("row.*")
+    repeated = cut(marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    unclear = not repeated.isEmpty() or not chosen.where("least_id is null").isEmpty()
+    clear = chosen.where("least_id is not null").select("least_id")
+    if unclear:
+        clear = clear.join(repeated, F.col("least_id") == F.col("doc_id"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    side = small_side(clear)
+    # beyond the size of a broadcast the ids are hashed, so that the texts needn't be sorted
+    kept = rows.join(side if side is not clear else clear.hint("shuffle_hash"), F.col("id") == F.col("least_id"), "left_semi").select("row")
+    if unclear:
+
+        @F.pandas_udf("long")
+        def fp_of(texts: pd.Series) -> pd.Series:
+            return pd.Series(_values([t or "" for t in texts]))
+
+        nulls = rows.where("id is null")
+        twice = rows.join(small_side(repeated), F.col("id") == F.col("doc_id"), "left_semi").unionByName(nulls)
+        marked = twice.withColumn("f", fp_of(F.col("row.text").cast("string")))
+        found = marked.join(small_side(chosen), (F.col("f") == F.col("fp")) & F.col("id").eqNullSafe(F.col("least_id")))
+        kept = kept.unionByName(found.select("row", "fp").dropDuplicates(["fp"]).select("row"))
+    return kept.select("row.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
