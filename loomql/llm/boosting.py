@@ -32,20 +32,20 @@ class Boosted:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: float = 1.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: float = 1.0) -> Boosted:
     """Newton boosting with histograms; ``least`` is the least Hessian sum of a child."""
     model = Boosted()
     for k in range(x.shape[1]):
         model.edges.append(np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])))
     b = model.bins(x).astype(np.int64)
-    rate_of = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+    rate_of = np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)
     model.base = float(np.log(rate_of / (1 - rate_of)))
     margin = np.full(len(y), model.base)
     inner, n_leaves = 2**depth - 1, 2**depth
     feats, cuts, leaves = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         f_of, t_of, node = np.zeros(inner, np.int64), np.full(inner, bins + 1, np.int64), np.zeros(len(y), np.int64)
         for level in range(depth):
             first, width = 2**level - 1, 2**level
@@ -74,14 +74,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
     return model
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (score, probability) of the least-squares rising fit, by pooling adjacent violators."""
+def isotonic(score: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (score, probability) of the weighted least-squares rising fit, by pooling adjacent violators."""
     order = np.argsort(score, kind="stable")
     knots, value, weight = [], [], []
-    for s, v in zip(score[order], y[order].astype(float)):
+    for s, v, one in zip(score[order], y[order].astype(float), weights[order]):
         knots.append([s, s])
         value.append(v)
-        weight.append(1.0)
+        weight.append(one)
         while len(value) > 1 and value[-2] >= value[-1]:
             w = weight[-2] + weight[-1]
             value[-2:] = [(value[-2] * weight[-2] + value[-1] * weight[-1]) / w]

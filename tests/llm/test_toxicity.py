@@ -12,20 +12,20 @@ def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
-    model = boosting.fit(x[:2000], y[:2000])
+    model = boosting.fit(x[:2000], y[:2000], np.ones(2000))
     assert ((model.margin(x[2000:]) > 0) == y[2000:]).mean() > 0.95
 
 
 def test_isotonic_is_the_least_squares_rising_fit():
     rng = np.random.default_rng(2)
-    s, y = rng.normal(size=40), rng.integers(0, 2, 40)
-    xs, ys = boosting.isotonic(s, y)
+    s, y, w = rng.normal(size=40), rng.integers(0, 2, 40), rng.integers(1, 4, 40).astype(float)
+    xs, ys = boosting.isotonic(s, y, w)
     assert (np.diff(ys) >= 0).all() and ys.min() >= 0 and ys.max() <= 1
     fitted = np.interp(np.sort(s), xs, ys)
-    v = y[np.argsort(s)].astype(float)
+    v, w = y[np.argsort(s)].astype(float), w[np.argsort(s)]
     n = len(v)
     for i in range(n):  # min-max formula
-        assert abs(fitted[i] - max(min(v[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1))) < 1e-9
+        assert abs(fitted[i] - max(min(np.average(v[a : b + 1], weights=w[a : b + 1]) for b in range(i, n)) for a in range(i + 1))) < 1e-9
 
 
 def test_features_see_each_signal():
@@ -58,10 +58,27 @@ def test_labels_of_the_held_out_fold_and_other_columns_do_not_matter(spark, docs
     assert scores[0] == scores[1]
 
 
+def test_one_law_at_any_number_of_labels(spark, docs, small):
+    """Few labels, one class, or none: trees and calibration all the same, and insults score above prose."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    for known in (labels, labels.where("toxic = 0"), labels.where("toxic = 1").limit(1), labels.limit(0)):
+        model = op.train(docs, known)
+        assert len(model.trees.leaves) == 60 and len(model.knots[0]) >= 2
+        bad, good = model.score(["you are a worthless idiot and a pathetic clown"])[0], model.score(["the river runs past the old mill and the market"])[0]
+        assert 0 <= good < 0.5 and bad > good
+
+
+def test_very_long_text(spark, docs, small):
+    model = op.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    text = "the river and the mill " * 60_000
+    df = spark.createDataFrame([(1, text), (2, text + "you worthless idiot " * 30_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in op.score_documents(df, model).collect()}
+    assert got[1] == model.score([text])[0] and got[2] >= got[1]
+
+
 def test_awkward_rows_and_missing_classes(spark, odd, empty, docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     model = op.train(odd, labels)
-    assert model.trees is None
     rows = op.score_documents(odd, model).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows) and all(r["held_out"] for r in rows if r["doc_id"] is None)
     assert op.score_documents(empty, op.train(empty, labels.limit(0))).count() == 0
