@@ -10,13 +10,15 @@ the documents' sizes are summed in key order, and a document is taken once more
 of its span of words lies within the rest.
 
 The running sum never needs a source in one place: documents are first counted by (source, key
-bucket), ``BUCKETS`` per source, and those few sums are scanned; only the documents of the one bucket of each
-source in which the budget ends are sorted.
-
-Defined cases: a null text has no words and is taken 0 times in effect (size 0); a null source is a
-source of its own, last in order; null doc_ids draw their key from the text alone; repeated rows draw equal
-keys and are told apart only by order; without any words all targets are 0; an empty table gives none;
-other columns of the input are ignored.  Rerunning gives the same rows.
+bucket), ``BUCKETS`` per source, and those few sums are scanned; only the distinct keys of the one bucket of each
+source in which the budget ends are sorted.  The result of that is one key a source, the last that is taken, so
+whole rows are read, judged by their own key and never moved.  Rows that share the one key in which a budget ends are
+numbered by the partitions in which they lie.
+
+Defined cases: a null text has no words and is taken 0 times in effect (size 0); a very long text counts whole; a null
+source is a source of its own, last in order; null doc_ids draw their key from the text alone; repeated rows draw equal
+keys and are told apart only by number; without any words all targets are 0; an empty table gives none;
+other columns of the input are ignored by ``mix`` and kept by ``mixed_rows``, whatever their names.  Rerunning gives the same rows.
 """
 
 from __future__ import annotations
@@ -73,25 +75,47 @@ def _drawn(docs: DataFrame, seed: int, row: Column | None = None) -> DataFrame:
 
 
 def _plan(keyed: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """One row a source: its target, and the bucket in which its budget ends with the words before it."""
+    """One row a source: its target; ``last``, the greatest key of which all rows are taken once more; and
+    ``part``, the key of which only ``n_part`` rows are (null where no budget ends among equal keys)."""
+    keyed = cut(keyed.select("source", "bucket", "mix_key", "draw", "doc_id", "size"))
     sums = cut(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
-    goals = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
+    goals = cut(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = sums.withColumn("before", before).alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
     edge = edge.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
-    edge = edge.select(F.col("g.source").alias("source"), F.col("bucket").alias("edge_bucket"), F.col("before").alias("edge_before"))
-    joined = goals.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left")
-    return cut(joined.select("g.*", F.coalesce("edge_bucket", F.lit(BUCKETS + 1)).alias("edge_bucket"), F.coalesce("edge_before", F.lit(0)).alias("edge_before")))
+    edge = cut(edge.select(F.col("g.source").alias("edge_source"), F.col("bucket").alias("edge_bucket"), F.col("before").alias("edge_before"), F.col("rest").alias("edge_rest")))
+    at_edge = keyed.join(small_side(edge), F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("bucket") == F.col("edge_bucket")))
+    equal = at_edge.groupBy("source", "mix_key", "draw", "doc_id", "size", "edge_before", F.col("edge_rest").alias("rest")).agg(F.count("*").alias("n"))
+    running = Window.partitionBy("source").orderBy("mix_key", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("edge_before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(running), F.lit(0))
+    # the middles of the rows' spans are at size / 2, 3 size / 2, ...: those within what is left are taken
+    within = F.when(F.col("size") > 0, F.floor(left / F.when(F.col("size") > 0, F.col("size")) + 0.5)).otherwise(F.when(left >= 0, F.col("n")).otherwise(0))
+    judged = equal.withColumn("took", F.when(F.col("rest") > 0, F.greatest(F.lit(0), F.least(F.col("n"), within))).otherwise(0).cast("long"))
+    key = F.struct("mix_key", "draw", "doc_id")
+    partial = (F.col("took") > 0) & (F.col("took") < F.col("n"))
+    ends = judged.groupBy(F.col("source").alias("end_source")).agg(F.max(F.when(F.col("took") == F.col("n"), key)).alias("last"), F.max(F.when(partial, key)).alias("part"), F.max(F.when(partial, F.col("took"))).alias("n_part"))
+    joined = goals.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left")
+    return cut(joined.select(*goals.columns, F.coalesce("edge_bucket", F.lit(BUCKETS + 1)).alias("edge_bucket"), "last", "part", "n_part"))
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds ``copies``; only the documents of the edge buckets are sorted."""
-    placed = rows.alias("k").join(small_side(plan).alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).select("k.*", "p.source_size", "p.target", "p.epochs", "p.rest", "p.edge_bucket", "p.edge_before")
-    clear = placed.where("bucket <> edge_bucket").withColumn("extra", ((F.col("bucket") < F.col("edge_bucket")) & (F.col("rest") > 0)).cast("long"))
-    running = Window.partitionBy("source").orderBy("mix_key", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("edge_before") + F.coalesce(F.sum("size").over(running), F.lit(0))
-    at_edge = placed.where("bucket = edge_bucket").withColumn("extra", ((start + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)).cast("long"))
-    return clear.unionByName(at_edge).withColumn("copies", F.col("epochs") + F.col("extra"))
+    """Adds ``copies`` to rows with their keys."""
+    placed = rows.alias("k").join(small_side(plan).alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).select("k.*", "p.source_size", "p.target", "p.epochs", "p.rest", "p.edge_bucket", "p.last", "p.part", "p.n_part")
+    key = F.struct("mix_key", "draw", "doc_id")
+    whole_key = (F.col("bucket") < F.col("edge_bucket")) | ((F.col("bucket") == F.col("edge_bucket")) & F.coalesce(key <= F.col("last"), F.lit(False)))
+    placed = placed.withColumn("extra", (whole_key & (F.col("rest") > 0)).cast("long"))
+    shared = F.coalesce((F.col("bucket") == F.col("edge_bucket")) & key.eqNullSafe(F.col("part")) & F.col("part").isNotNull(), F.lit(False))
+    if not plan.where("part is not null").isEmpty():
+        # the budget ends among rows of one key: number them inside the partitions where a checkpoint holds them
+        tied = cut(placed.where(shared).withColumn("held_by", F.spark_partition_id()))
+        counts = tied.groupBy("source", "held_by").agg(F.count("*").alias("rows"))
+        before = F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("held_by").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = counts.withColumn("ahead", before).alias("o")
+        numbered = tied.withColumn("number", F.row_number().over(Window.partitionBy("source", "held_by").orderBy("draw"))).alias("t")
+        numbered = numbered.join(small_side(cut(offsets)).alias("o"), F.col("t.source").eqNullSafe(F.col("o.source")) & (F.col("t.held_by") == F.col("o.held_by")))
+        some = numbered.select("t.*", "ahead").withColumn("extra", (F.col("number") + F.col("ahead") <= F.col("n_part")).cast("long"))
+        placed = placed.where(~shared).unionByName(some.drop("ahead", "number", "held_by"))
+    return placed.drop("last", "part", "n_part").withColumn("copies", F.col("epochs") + F.col("extra"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
@@ -105,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes them."""
+    """The rows of ``docs`` that the mix takes, each as often as it takes them; texts are read twice and never shuffled."""
     plan = _plan(_drawn(docs, seed), weights, share, cap)
     rows = _taken(_drawn(docs, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), plan)
     return rows.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")

@@ -65,6 +65,17 @@ def test_one_hot_source(spark, rng):
     check(spark.createDataFrame([(i, prose(rng, rng.randint(1, 60)), "hot" if i % 3 else f"s{i % 5}") for i in range(600)], "doc_id long, text string, source string"))
 
 
+def test_a_budget_that_ends_among_equal_rows(spark, rng):
+    """Repeated rows share one key; some of them are taken, so that the target is met all the same."""
+    same = [(None, "one two three four", "hot")] * 400 + [(7, "five six", "other")] * 90 + [(None, None, "hot")] * 5
+    df = spark.createDataFrame(same + [(i, prose(rng, 9), "third") for i in range(50)], "doc_id long, text string, source string").repartition(5)
+    rows = check(df)
+    assert {len({r["copies"] for r in rows if r["source"] == s and r["size"]}) for s in ("hot", "other")} == {1, 2} or len({r["copies"] for r in rows if r["source"] == "hot" and r["size"]}) == 2
+    mixed = op.mixed_rows(df.withColumn("row", F.lit(1))).groupBy("source").agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), " "))).alias("n"))
+    taken = {s: sum(r["taken"] for r in rows if r["source"] == s) for s in ("other", "third")}
+    assert {r["source"]: r["n"] for r in mixed.where("source <> 'hot'").collect()} == taken
+
+
 def test_rows_are_repeated(spark, docs):
     copies = {r["doc_id"]: r["copies"] for r in op.mix(docs).collect()}
     mixed = op.mixed_rows(docs)
