@@ -1,12 +1,13 @@
 """Shared scratch space: where intermediate tables and checkpoints live.
 
-On a cluster the folder is whatever ``spark.checkpoint.dir`` names.  Only when a
-session has none (tests, notebooks) is a folder of our own chosen.
+On a cluster the folder is whatever ``spark.checkpoint.dir`` names.  Only a session that runs in one process
+(tests, notebooks) may have none; it gets a folder of our own.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of this session; sets a local one only where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="loomql-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -37,11 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a row group of stored tables: what a writer holds in memory.
+ROW_GROUP = 16 << 20
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the scratch folder and read it back with the same schema."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"parquet.block.size": str(ROW_GROUP), **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
