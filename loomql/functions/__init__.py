@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,7 +123,12 @@ def _hash(*arguments: Val, root) -> Val:
     return Val(F.ltrim(F.md5(v.col.cast("string").cast("binary")), F.lit("0")), T.StringType())
 
 
+def fresh_id() -> Column:
+    """A new id of 24 hexadecimal digits; the first eight are the time in seconds."""
+    return F.concat(F.lpad(F.lower(F.hex(F.unix_seconds(F.current_timestamp()))), 8, "0"), F.substring(F.regexp_replace(F.expr("uuid()"), "-", ""), 1, 16))
+
+
 @register("OBJECT_ID", ("document",))
 def _object_id(*arguments: Val, root) -> Val:
     """A fresh id of 24 hexadecimal digits."""
-    return Val(F.substring(F.regexp_replace(F.expr("uuid()"), "-", ""), 1, 24), T.StringType())
+    return Val(fresh_id(), T.StringType())

@@ -27,6 +27,12 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce(_of("n", new, c, types[c]), _of("o", old, c, types[c])).alias(c) for c in names])
 
 
+def replace_rows(old: DataFrame, new: DataFrame) -> DataFrame:
+    """New rows, and the old rows whose ``_id`` is not among theirs; attributes that only one side has are null on the other."""
+    joined, names, types = _pairs(old, new)
+    return joined.select(*[F.when(F.col("n").isNotNull(), _of("n", new, c, types[c])).otherwise(_of("o", old, c, types[c])).alias(c) for c in names])
+
+
 def add_changes(old: DataFrame, delta: DataFrame, sums: dict) -> DataFrame:
     """Results after a change: attributes in ``sums`` (a tree of names; True for a sum) are old plus delta, others new or else old;
     the name * stands for attributes that aren't named.

@@ -33,16 +33,33 @@ def align(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return old.select(*cols(old)), new.select(*cols(new))
 
 
+def _digests(df: DataFrame) -> list[Column]:
+    """128 bits of each row as two longs; nulls count by their place."""
+    c = _comparable(df)
+    cells = [x for f in df.schema.fields for x in (c.getField(f.name), c.getField(f.name).isNull())]
+    return [F.xxhash64(*cells), F.xxhash64(F.lit("second"), *cells)]
+
+
 def signed_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` that differ from ``old`` (+1) and rows of ``old`` that differ from ``new`` (-1), by ``_id``.
 
-    ``_id`` must be unique on either side (``require_unique``).  One full outer join.
+    Only ``_id`` and a digest of 128 bits of each row are shuffled; the changed rows are then fetched by their ``_id``, so
+    the cost of wide rows follows the changes.  An ``_id`` that occurs twice on a side is an error when the result is computed.
     """
     old, new = align(old, new)
-    side = lambda df, n: df.select(F.col("_id").alias(f"{n}_id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(n), _comparable(df).alias(f"{n}_c"))
-    joined = side(old, "o").join(side(new, "n"), F.col("o_id").eqNullSafe(F.col("n_id")), "full_outer").where(~F.col("o_c").eqNullSafe(F.col("n_c")))
-    rows = F.array(F.struct(F.col("o").alias("r"), F.lit(-1).alias("w")), F.struct(F.col("n").alias("r"), F.lit(1).alias("w")))
-    return joined.select(F.explode(rows).alias("x")).where("x.r IS NOT NULL").select("x.r.*", F.col("x.w").alias(WEIGHT))
+
+    def marked(df: DataFrame, side: int) -> DataFrame:
+        first, second = _digests(df)
+        return df.select("_id", F.lit(side).alias("s"), first.alias("a"), second.alias("b"))
+
+    of = lambda side, x: F.max(F.when(F.col("s") == side, F.col(x))).alias(f"{x}{side}")
+    times = [F.count(F.when(F.col("s") == side, 1)).alias(f"n{side}") for side in (0, 1)]
+    ids = marked(old, 0).unionByName(marked(new, 1)).groupBy("_id").agg(*[of(side, x) for side in (0, 1) for x in "ab"], *times)
+    twice = F.raise_error(F.concat(F.lit("an _id occurs more than once: "), F.to_json(F.struct("_id")))).cast("boolean")
+    differ = ~(F.col("a0").eqNullSafe(F.col("a1")) & F.col("b0").eqNullSafe(F.col("b1")))
+    changed = ids.where(F.when(F.greatest("n0", "n1") > 1, twice).otherwise(differ)).select(F.col("_id").alias("_changed"))
+    rows = lambda df, weight: df.join(changed, F.col("_id").eqNullSafe(F.col("_changed")), "left_semi").withColumn(WEIGHT, F.lit(weight))
+    return rows(old, -1).unionByName(rows(new, 1))
 
 
 def inserted(rows: DataFrame) -> DataFrame:

@@ -42,6 +42,17 @@ class Scope:
         return replace(self, current=child, depth=self.depth + 1)
 
 
+class Items(tuple):
+    """The children of a list, as ``Evaluator.children`` gives them, with the list itself."""
+
+    whole: Column
+
+    def __new__(cls, cells: Column, t: T.DataType, dynamic: bool, whole: Column):
+        made = super().__new__(cls, (cells, t, dynamic))
+        made.whole = whole
+        return made
+
+
 class Evaluator:
     """Columns over one DataFrame; ``df`` grows by exploded children in row mode."""
 
@@ -98,7 +109,7 @@ class Evaluator:
             return self._entries(parent.col, hidden), parent.dtype.valueType, parent.dynamic
         if isinstance(parent.dtype, T.ArrayType):
             cells = F.transform(parent.col, lambda x, i: F.struct(F.lit(None).cast("string").alias("n"), i.alias("i"), x.alias("v")))
-            return F.filter(cells, lambda c: c["v"].isNotNull()), parent.dtype.elementType, parent.dynamic
+            return Items(F.filter(cells, lambda c: c["v"].isNotNull()), parent.dtype.elementType, parent.dynamic, parent.col)
         raise CompileError(f"{parent.dtype.simpleString()} has no children")
 
     @staticmethod
@@ -122,6 +133,13 @@ class Evaluator:
     def explode(self, found: tuple[Column, T.DataType, bool], outer: bool, keep: Callable[[Val], Column] | None = None) -> Val:
         """One row for each accepted child; with ``outer`` a row without any stays, its child missing."""
         cells, t, dynamic = found
+        if isinstance(found, Items) and not outer:  # plain rows, without an array of structs
+            at, item = (f"__b{next(_names)}" for _ in range(2))
+            self.df = self.df.select("*", F.posexplode(found.whole).alias(at, item)).where(F.col(item).isNotNull())
+            child = Val(F.col(item), t, dynamic, F.lit(None).cast("string"), F.col(at))
+            if keep is not None:
+                self.df = self.df.where(F.coalesce(keep(child), F.lit(False)))
+            return child
         val = lambda c: Val(c["v"], t, dynamic, c["n"], c["i"])
         if keep is not None:
             cells = F.filter(cells, lambda c: F.coalesce(keep(val(c)), F.lit(False)))

@@ -13,6 +13,7 @@ from loomql.operators.incremental import WEIGHT
 from loomql.plans.analyze import check_incremental, is_aggregating, nest, unresolved
 from loomql.plans.compiler import DYNAMIC, compile_transformation
 from loomql.plans.evaluate import Evaluator
+from loomql.plans.scratch import cut
 from loomql.plans.values import CompileError
 from loomql.sources.registry import Engine, create
 from loomql.sources.stores import Store
@@ -71,13 +72,14 @@ def apply_changes(transformation: A.Transformation, changes: DataFrame, source:
         raise CompileError(f"results in {sink.name} can't be combined with changes")
     if adds_up and not any(isinstance(s.path.steps[0], A.Name) and s.path.steps[0].name == "_id" and not unresolved(s.value) for s in transformation.specs):
         raise CompileError("combining results needs an _id")
-    if not changes.take(1):
+    changes = cut(changes)  # read again below, and their source may be the sink
+    if changes.isEmpty():
         return False
     if not adds_up:
         sink.store(compile_transformation(transformation, changes.where(f"{WEIGHT} > 0").drop(WEIGHT), source.dynamic))
         return True
-    delta = compile_transformation(transformation, changes, source.dynamic, WEIGHT)
-    if not delta.take(1):
+    delta = cut(compile_transformation(transformation, changes, source.dynamic, WEIGHT))
+    if delta.isEmpty():
         return False
     sums = sums_of(transformation.specs)
     if isinstance(sink, Store):
@@ -100,18 +102,32 @@ def run_one(spark: SparkSession, transformation: A.Transformation, hints: dict |
     mode = source.mode()
     stored = True
     if mode is None:
-        sink.store(compile_transformation(transformation, source.read(), source.dynamic))
+        rows = source.read()
+        source.remember(rows, started)
+        sink.store(compile_transformation(transformation, rows, source.dynamic))
     else:
         check_incremental(transformation)
-        stored = apply_changes(transformation, source.read_changes(), source, sink)
+        changes = source.read_changes()
+        if mode.name == "timestamp":
+            source.remember(source.read(), started)
+        stored = apply_changes(transformation, changes, source, sink)
     return Run(mode.name if mode else "full", started, (time.monotonic() - began) * 1000, stored)
 
 
-def run(spark: SparkSession, text: str) -> list[Run]:
-    """Run the transformations of a script one after the other; later ones can read what earlier ones stored."""
-    return [run_one(spark, t) for t in parse(text)]
+def run(spark: SparkSession, text: str, group: str | None = None) -> list[Run]:
+    """Run the transformations of a script one after the other; later ones can read what earlier ones stored.
+
+    With a ``group`` its jobs can be stopped from another thread (``cancel``).
+    """
+    if group is not None:
+        spark.sparkContext.setJobGroup(group, text[:200], interruptOnCancel=True)
+    try:
+        return [run_one(spark, t) for t in parse(text)]
+    finally:
+        if group is not None:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def cancel(spark: SparkSession, group: str) -> None:
-    """Stop the jobs of a group set with ``spark.sparkContext.setJobGroup``."""
+    """Stop the jobs of a script that was given this group."""
     spark.sparkContext.cancelJobGroup(group)

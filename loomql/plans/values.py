@@ -146,6 +146,8 @@ def tokens(v: Val, delimiter: str) -> Column:
     """Split by a regular expression; trailing empty strings go, an empty text has one empty token."""
     if kind(v) not in ("string", "dynamic"):
         raise CompileError("split() needs a string")
-    parts = F.split(v.col, delimiter, -1)
-    end = F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
-    return F.when((v.col == "") | (F.element_at(parts, -1) != ""), parts).otherwise(F.slice(parts, 1, end))
+    last = lambda p: F.array_max(F.transform(p, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+    whole = lambda p: (F.size(p) == 1) | (F.element_at(p, -1) != "")
+    # the lambda gives the pieces a name, so that the text is split once
+    kept = F.transform(F.array(F.split(v.col, delimiter, -1)), lambda p: F.when(whole(p) & ((F.size(p) > 1) | (v.col == "") | (p[0] != "")), p).otherwise(F.slice(p, 1, last(p))))
+    return F.get(kept, 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomql.lang.parser import DOCUMENT, TABULAR
-from loomql.operators.combine import upsert
+from loomql.operators.combine import replace_rows
 from loomql.plans.compiler import DYNAMIC, widen
 from loomql.plans.values import BOOLEAN, DECIMAL, INTEGER
 from loomql.sources import paths
@@ -75,7 +75,7 @@ class Csv(Engine):
 
 @register
 class Json(Engine):
-    """``json(path)``: one object a line, or an array with one object a line; a missing path has no rows."""
+    """``json(path)``: one object a line, or an array with one object a line; a missing path has no rows, a malformed line is an error."""
 
     name, dialect, required, combining = "json", DOCUMENT, ("path",), True
 
@@ -83,16 +83,26 @@ class Json(Engine):
         path = self.parameters["path"]
         if not paths.exists(self.spark, path):
             return self.spark.createDataFrame([], "_id string")
-        schema = self.spark.read.option("mode", "DROPMALFORMED").json(path).schema
-        if not schema.fields:
-            return self.spark.createDataFrame([], "_id string")
-        lines = self.spark.read.text(path).where("trim(value) NOT IN ('[', ']', '')")
-        objects = lines.select(F.from_json(F.regexp_replace(F.trim("value"), ",$", ""), schema).alias("o"))
-        return objects.where("o IS NOT NULL").select("o.*")
+        lines = self.spark.read.text(path).where("trim(value) NOT IN ('[', ']', '')").select(F.regexp_replace(F.trim("value"), ",$", "").alias("value"))
+        strings = getattr(lines._jdf, "as")(self.spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING())
+        try:
+            rows = DataFrame(self.spark.read.option("mode", "FAILFAST")._jreader.json(strings), self.spark)
+        except Exception as error:
+            raise EngineError(f"{path} holds a line that is no JSON object: {str(error)[:300]}") from error
+        return rows if rows.columns else self.spark.createDataFrame([], "_id string")
 
     def store(self, result: DataFrame) -> None:
-        wide = widen(result)
-        paths.replace(self.spark, self.parameters["path"], lambda staging: wide.write.json(staging))
+        """Lines of text, so that dynamic names need no list of all names."""
+        fixed = F.to_json(F.struct(*[F.col(f"`{c}`") for c in result.columns if c != DYNAMIC])) if set(result.columns) != {DYNAMIC} else F.lit("{}")
+        if DYNAMIC in result.columns:
+            names = [c for c in result.columns if c != DYNAMIC]
+            more = F.to_json(F.map_filter(DYNAMIC, lambda k, v: v.isNotNull() & ~k.isin(names)))
+            bare = lambda x: F.coalesce(x, F.lit("{}")).isin("{}")
+            both = F.concat(F.expr("substring(f, 1, length(f) - 1)"), F.lit(","), F.expr("substring(m, 2)"))
+            lines = result.select(fixed.alias("f"), more.alias("m")).select(F.when(bare(F.col("m")), F.col("f")).when(bare(F.col("f")), F.col("m")).otherwise(both).alias("value"))
+        else:
+            lines = result.select(fixed.alias("value"))
+        paths.replace(self.spark, self.parameters["path"], lambda staging: lines.write.text(staging))
 
     def read_result(self) -> DataFrame | None:
         return self.read() if paths.exists(self.spark, self.parameters["path"]) else None
@@ -118,7 +128,7 @@ class Memory(Engine):
         name = self.parameters.get("name", "result")
         old = TABLES.get(name)
         if old is not None and "_id" in result.columns and "_id" in old.columns and set(old.columns) == set(result.columns) and DYNAMIC not in result.columns:
-            result = upsert(old, result)
+            result = replace_rows(old, result)
         TABLES[name] = result
 
     def replace(self, result: DataFrame) -> None:

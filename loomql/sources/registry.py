@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from loomql.lang.parser import DIALECTS, TABULAR
+from loomql.sources import paths
 
 UPDATES, DELETES = "boolean_updates_expected", "boolean_deletes_expected"
 
@@ -78,6 +79,13 @@ class Engine(ABC):
     def store(self, result: DataFrame) -> None:
         """Write a result; combining engines update what they hold by ``_id``."""
 
+    def remember(self, rows: DataFrame, started: int) -> None:
+        """Note what a later timestamp run needs to know about a run that read ``rows`` and began at ``started`` (ms)."""
+
+    def marks(self) -> dict[str, int]:
+        """Numbers of the last batches that streams have put into this store."""
+        return paths.marks(self.spark, self.parameters["path"]) if "path" in self.parameters else {}
+
     def replace(self, result: DataFrame) -> None:
         """Write a whole result that was already combined with what the store held."""
         self.store(result)

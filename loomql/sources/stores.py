@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomql.lang.parser import COLUMN, DOCUMENT, KEY_VALUE
-from loomql.operators.combine import add_changes, upsert
+from loomql.functions import fresh_id
+from loomql.operators.combine import add_changes, replace_rows, upsert
 from loomql.operators.incremental import inserted, signed_diff
 from loomql.plans.compiler import DYNAMIC, widen
 from loomql.sources import paths
@@ -86,6 +87,9 @@ class Store(Engine):
     def read_result(self) -> DataFrame | None:
         return self.read() if self.folder().exists() else None
 
+    def marks(self) -> dict[str, int]:
+        return paths.marks(self.spark, self.folder().path)
+
     def read_changes(self) -> DataFrame:
         mode = self.mode()
         if mode is not None and mode.name == "snapshot":
@@ -103,7 +107,8 @@ class Documents(Store):
     """``mongodb(database_name, collection_name, ...)``: documents with ``_id``, upserted as a whole.
 
     Results that are only an ``_id`` are not stored.  Timestamp mode takes the insertion time from the first eight
-    hexadecimal digits of generated ids, so it sees inserts alone.
+    hexadecimal digits of generated ids, so it sees inserts alone.  That time has whole seconds: each run notes which ids of the
+    second in which it began (or later ones) it has read, and the run that goes on from there takes all others from that second on.
     """
 
     name, dialect, kind = "mongodb", DOCUMENT, "documents"
@@ -119,13 +124,31 @@ class Documents(Store):
         generated = F.col("_id").cast("string").rlike("^[0-9a-f]{24}$")
         if rows.where(~F.coalesce(generated, F.lit(False))).limit(1).count():
             raise UserDefinedIdError("the collection has ids that carry no time")
-        seconds = F.conv(F.substring("_id", 1, 8), 16, 10).cast("long")
-        return inserted(rows.where(seconds * 1000 > int(self.parameters["timestamp"])))
+        since = int(self.parameters["timestamp"])
+        found, seen = rows.where(self._seconds() >= since // 1000), self._seen(since)
+        if paths.exists(self.spark, seen):
+            known = self.spark.read.parquet(seen).withColumnRenamed("_id", "_seen")
+            found = found.join(known, F.col("_id").cast("string") == F.col("_seen"), "left_anti")
+        return inserted(found)
+
+    @staticmethod
+    def _seconds() -> Column:
+        return F.conv(F.substring("_id", 1, 8), 16, 10).cast("long")
+
+    def _seen(self, started: int) -> str:
+        return f"{self.folder().path}.seen/{started}"
+
+    def remember(self, rows: DataFrame, started: int) -> None:
+        if "_id" not in rows.columns:
+            return
+        recent = rows.select(F.col("_id").cast("string").alias("_id")).where(F.col("_id").rlike("^[0-9a-f]{24}$")).where(self._seconds() >= started // 1000)
+        if recent.take(1):
+            recent.write.mode("overwrite").parquet(self._seen(started))
 
     def store(self, result: DataFrame) -> None:
         wide = widen(result)
         if "_id" not in wide.columns:
-            wide = wide.withColumn("_id", F.substring(F.regexp_replace(F.expr("uuid()"), "-", ""), 1, 24))
+            wide = wide.withColumn("_id", fresh_id())
         others = [F.col(f"`{c}`").isNotNull() for c in wide.columns if c != "_id"]
         if others:
             keep = others[0]
@@ -135,7 +158,7 @@ class Documents(Store):
         else:
             wide = wide.limit(0)
         folder = self.folder()
-        folder.replace(upsert(folder.read(), wide) if folder.exists() else wide)
+        folder.replace(replace_rows(folder.read(), wide) if folder.exists() else wide)
 
     def combine(self, delta: DataFrame, sums: dict) -> None:
         folder, wide = self.folder(), widen(delta)
@@ -182,9 +205,13 @@ def rows_of(cells: DataFrame, families: list[str] | None = None) -> DataFrame:
 
 
 def latest(cells: DataFrame, upto: int | None = None) -> DataFrame:
-    """The newest version of each cell (not later than ``upto``); deleted cells (null) are left out."""
+    """The newest version of each cell (not later than ``upto``; of one time the greatest value); deleted cells (null) are left out."""
     seen = cells if upto is None else cells.where(F.col("ts") <= upto)
-    return seen.groupBy("row", "family", "column").agg(F.max_by("value", "ts").alias("value")).where("value IS NOT NULL")
+    return seen.groupBy("row", "family", "column").agg(F.max_by("value", F.struct("ts", "value")).alias("value")).where("value IS NOT NULL")
+
+
+#: Columns of a wide-column folder; ``batch`` tells which batch of a stream wrote a cell.
+CELLS = "row string, family string, column string, ts long, value string, batch string"
 
 
 @register
@@ -215,23 +242,31 @@ class WideColumns(Store):
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "_id string, default map<string,string>")
 
+    def cells(self, folder: Folder | None = None) -> DataFrame:
+        """All versions of all cells."""
+        return self.spark.read.schema(CELLS).parquet((folder or self.folder()).path)
+
+    def marks(self) -> dict[str, int]:
+        return {}  # a batch that comes again replaces its own cells (see ``combine``)
+
     def rows(self, folder: Folder) -> DataFrame:
         if not folder.exists():
             return self.empty()
-        found = rows_of(latest(folder.read()))
+        found = rows_of(latest(self.cells(folder)))
         return found if len(found.columns) > 1 else self.empty()
 
     def put(self, cells: DataFrame, ts: int | None = None) -> None:
         """Append versions of cells (row, family, column, value); a null value deletes a cell."""
         stamp = int(time.time() * 1000) if ts is None else ts
-        self.folder().append(cells.select("row", "family", "column", F.lit(stamp).cast("long").alias("ts"), F.col("value").cast("string").alias("value")))
+        batch = json.dumps(paths.current_marks(), sort_keys=True) if paths.current_marks() else None
+        self.folder().append(cells.select("row", "family", "column", F.lit(stamp).cast("long").alias("ts"), F.col("value").cast("string").alias("value"), F.lit(batch).cast("string").alias("batch")))
 
     def read_changes(self) -> DataFrame:
         if self.mode().name != "timestamp":
             return super().read_changes()
         if self.properties()["max_versions"] < 2:
             raise NoVersionsError("the table keeps a single version of each cell")
-        since, cells = int(self.parameters["timestamp"]), self.folder().read()
+        since, cells = int(self.parameters["timestamp"]), self.cells()
         families = sorted(r[0] for r in cells.select("family").distinct().collect())
         if self.parameters.get(UPDATES) is False and self.parameters.get(DELETES) is False:
             return inserted(rows_of(latest(cells.where(F.col("ts") > since)), families))
@@ -252,7 +287,10 @@ class WideColumns(Store):
         is_sum = F.col("column").isin(*named) if named else F.lit(False)
         if others:
             is_sum = is_sum | (~F.col("column").isin(*plain) if plain else F.lit(True))
-        old = latest(self.folder().read()).withColumnRenamed("value", "old")
+        held = self.cells()
+        if paths.current_marks():  # what this batch wrote before a crash doesn't count
+            held = held.where(~F.col("batch").eqNullSafe(F.lit(json.dumps(paths.current_marks(), sort_keys=True))))
+        old = latest(held).withColumnRenamed("value", "old")
         joined = new.join(old, ["row", "family", "column"], "left")
         number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
         whole = F.col("value").rlike("^-?[0-9]+$") & F.coalesce(F.col("old").rlike("^-?[0-9]+$"), F.lit(True))

@@ -1,14 +1,12 @@
 """Change-driven execution: a stream of change events updates a stored result batch by batch.
 
 An event has ``_id``, ``seq``, ``before`` and ``after`` (rows as structs; null for no row).  Each micro-batch is
-reduced to its net change, evaluated as signed rows, and merged into the sink.  A batch that was already applied is skipped by its id, so
-a restart from the checkpoint applies every event once.
+reduced to its net change, evaluated as signed rows, and merged into the sink.  Folder sinks take the batch's number in the same rename as its
+result, wide columns tag its cells with it, so a restart from the checkpoint applies every event once.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,36 +18,38 @@ from loomql.sources import paths
 from loomql.sources.registry import create
 
 
-def apply_batch(spark: SparkSession, text: str, events: DataFrame) -> bool:
-    """Apply a table of change events to the sink of a one-transformation script."""
+def _engines(spark: SparkSession, text: str):
     (transformation,) = parse(text)
     plain = {k: v for k, v in transformation.source.parameters.items() if k != "triggerbased"}
-    source = create(spark, transformation.source.name, plain)
-    sink = create(spark, transformation.sink.name, transformation.sink.parameters)
-    return apply_changes(transformation, net_changes(events), source, sink)
+    return transformation, create(spark, transformation.source.name, plain), create(spark, transformation.sink.name, transformation.sink.parameters)
 
 
-def applied(spark: SparkSession, folder: str) -> int:
-    """The last batch that was applied, -1 for none."""
-    path = f"{folder}/last-batch"
-    return json.loads(spark.read.text(path).first()[0])["batch"] if paths.exists(spark, path) else -1
+def apply_batch(spark: SparkSession, text: str, events: DataFrame) -> bool:
+    """Apply a table of change events to the sink of a one-transformation script."""
+    transformation, source, sink = _engines(spark, text)
+    return apply_changes(transformation, net_changes(events), source, sink)
 
 
 def start(spark: SparkSession, text: str, events: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    """Run a script for every micro-batch of a streaming table of change events."""
-    parse(text)  # fail before anything runs
+    """Run a script for every micro-batch of a streaming table of change events.
+
+    The sink itself carries the number of the last batch, written with the batch's result, so a batch
+    that was applied before a crash isn't applied again.
+    """
+    _engines(spark, text)  # fail before anything runs
+    stream = f"stream {checkpoint}"
 
     def handle(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        if number <= applied(session, checkpoint):
+        sink = _engines(session, text)[2]
+        if number <= sink.marks().get(stream, -1):
             return
         batch.persist()
         try:
-            apply_batch(session, text, batch)
+            with paths.marked(stream, number):
+                apply_batch(session, text, batch)
         finally:
             batch.unpersist()
-        mark = session.createDataFrame([(json.dumps({"batch": number}),)], "value string")
-        paths.replace(session, f"{checkpoint}/last-batch", lambda staging: mark.coalesce(1).write.text(staging))
 
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", f"{checkpoint}/stream").trigger(**(trigger or {"availableNow": True})).start()
 
