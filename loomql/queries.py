@@ -114,7 +114,6 @@ _plain(
     lambda df: df.select("_id", "total", F.coalesce(F.try_element_at(DYNAMIC, F.lit("click")), F.lit(0)).alias("clicks")),
 )
 _plain("ignored_attr", "events", "OUT._ <- IN.user_id, OUT.type <- IN.event_type, OUT.n <- COUNT(1)", "SELECT event_type AS type, count(*) AS n FROM events GROUP BY user_id, event_type")
-_plain("deref_input", "nation", "OUT._id <- IN.n_nationkey, OUT.v <- COUNT(IN.$(IN.*.name()))", "SELECT n_nationkey AS _id, CAST(3 AS BIGINT) AS v FROM nation")
 
 
 def _json_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 from loomql import queries as core
+from loomql import stored_queries as stored
+
+QUERIES, ORACLES = core.QUERIES | stored.QUERIES, core.ORACLES | stored.ORACLES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 SMALL = "/root/testdata/sf0.001"
@@ -20,7 +23,7 @@ def database():
 
 def test_names():
     found, sql = entry.queries(), entry.oracle_sql()
-    assert set(core.QUERIES) <= set(found) and set(core.ORACLES) == set(core.QUERIES) and set(sql) <= set(found)
+    assert set(QUERIES) <= set(found) and set(ORACLES) == set(QUERIES) and set(sql) <= set(found)
 
 
 def test_smoke(spark):
@@ -31,12 +34,12 @@ def plain(x):
     return round(x, 6) if isinstance(x, float) else x
 
 
-@pytest.mark.parametrize("name", list(core.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_equals_sql(spark, database, name):
-    df = core.QUERIES[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    found = database.execute(core.ORACLES[name])
+    found = database.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
