@@ -56,29 +56,54 @@ def test_query_holds_every_document_in_near_equal_shards(spark, docs, small):
     assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)}
 
 
-def test_few_documents_move_and_unchanged_shards_are_not_written(spark, docs, tmp_path):
+def resharded(spark, docs, old, folder, **more):
+    """(rows, manifest, flows) after laying out and resharding."""
+    row = op.lay_out(docs, old, f"{folder}/old")
+    manifest, flow = op.reshard(spark, f"{folder}/old", row, f"{folder}/new", **more)
+    return op.read_shards(spark, f"{folder}/old", f"{folder}/new", row, manifest).collect(), manifest.collect(), flow
+
+
+def test_few_documents_move_and_only_cut_files_are_written(spark, docs, tmp_path):
     old = (F.col("doc_id") % 4).cast("int")
     held = [r["b"] for r in docs.groupBy(old.alias("s")).agg(F.sum(F.octet_length("text") + 8).alias("b")).orderBy("s").collect()]
     capacities = [held[0], held[1], held[2] - 20000, held[3], 20000]
-    moved, flow = op.reshard(docs, old, capacities, n_old=4, n_new=5)
-    rows = moved.collect()
+    rows, manifest, flow = resharded(spark, docs, old, tmp_path, capacities=capacities, n_old=4, n_new=5)
     went = sum(r["size"] for r in rows if r["shard"] != r["old_shard"])
-    assert abs(went - 20000) < 2000 and {r["old_shard"] for r in rows if r["shard"] == 4} == {2}
-    assert op.rewrite(moved, flow, str(tmp_path / "out")) == [2, 4]
-    read = spark.read.parquet(str(tmp_path / "out"))
-    assert {r["shard"] for r in read.select("shard").distinct().collect()} == {2, 4}
-    assert read.select("row.*").columns == docs.columns
+    assert abs(went - 20000) < 4000 and {r["old_shard"] for r in rows if r["shard"] == 4} == {2}
+    assert sorted(r["row"]["doc_id"] for r in rows) == sorted(i for i, _ in texts_of(docs))
+    assert {r["old_shard"] for r in manifest if r["rewritten"]} == {2} and len({r["block"] for r in manifest if r["rewritten"]}) == 1
+    written = spark.read.parquet(str(tmp_path / "new"))
+    assert written.count() == sum(r["n"] for r in manifest if r["rewritten"]) < docs.count() / 2
+    assert written.select("row.*").columns == docs.columns
+
+
+def test_equal_shards_stay_as_they_are(spark, docs, tmp_path):
+    old = (F.col("doc_id") % 4).cast("int")
+    held = [r["b"] for r in docs.groupBy(old.alias("s")).agg(F.sum(F.octet_length("text") + 8).alias("b")).orderBy("s").collect()]
+    rows, manifest, _ = resharded(spark, docs, old, tmp_path, capacities=held, n_old=4, n_new=4)
+    assert not any(r["rewritten"] for r in manifest) and all(r["shard"] == r["old_shard"] for r in rows) and len(rows) == docs.count()
+
+
+def test_blocks_of_bounded_bytes(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_BYTES", 20_000)
+    rows, manifest, _ = resharded(spark, docs, F.lit(0), tmp_path, n_old=1, n_new=3)
+    sizes = check(rows, [len(t.encode()) + 8 for _, t in texts_of(docs)], 3)
+    assert max(sizes.values()) - min(sizes.values()) < 20_000 and len(manifest) > 10
 
 
 def test_awkward_rows(spark, odd, empty, tmp_path):
-    moved, flow = op.reshard(odd, F.pmod(F.xxhash64("doc_id"), F.lit(3)), n_old=3, n_new=4)
-    rows = moved.collect()
+    rows, _, _ = resharded(spark, odd, F.pmod(F.xxhash64("doc_id"), F.lit(3)), tmp_path / "a", n_old=3, n_new=4)
     check(rows, [len((r["text"] or "").encode()) + 8 for r in odd.collect()], 4)
-    op.rewrite(moved, flow, str(tmp_path / "odd"))
-    assert spark.read.parquet(str(tmp_path / "odd")).count() == odd.count()
-    assert op.reshard(empty, F.lit(0), n_old=2, n_new=3)[0].count() == 0
+    assert sorted((repr(r["row"]["doc_id"]), r["text_crc32"]) for r in rows) == sorted((repr(i), zlib.crc32((t or "").encode())) for i, t in texts_of(odd))
+    assert resharded(spark, empty, F.lit(0), tmp_path / "b", n_old=2, n_new=3)[0] == []
+
+
+def test_very_long_text(spark, tmp_path):
+    df = spark.createDataFrame([(1, "word " * 300_000), *[(i, "x" * 100) for i in range(2, 200)]], "doc_id long, text string")
+    rows, _, _ = resharded(spark, df, (F.col("doc_id") % 2).cast("int"), tmp_path, n_old=2, n_new=3)
+    check(rows, [1_500_008] + [108] * 198, 3)
 
 
-def test_reruns_agree(spark, docs):
-    one, two = (op.reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(16)))[0].select("row.doc_id", "shard", "slot") for _ in range(2))
+def test_reruns_agree(spark, docs, small):
+    one, two = (op.op2_resharding(spark, small).select("doc_id", "shard", "slot") for _ in range(2))
     assert one.exceptAll(two).count() == 0
