@@ -8,8 +8,12 @@ pseudonyms in every document, different ones different pseudonyms, and whoever h
   their characters: the left half of the permutable characters is shifted by a hash of the right half, then
   the other way round, ``ROUNDS`` times; each character stays in its class (digit, lower, upper, or hex), others
   stay as they are.  Cards and IBANs then get the check digits of their new body.
-* Pairs of numbers (dates as days in 17 x 4297, which is exactly 1900-01-01 to 2099-12-31; addresses as 2^16 x 2^16)
-  go through the same network with modular addition, so no cycle walking is needed.
+* Pairs of numbers (dates as days in 17 x 4297, which is exactly 1900-01-01 to 2099-12-31; addresses as 2^16 x 2^16;
+  social security numbers as 29634 x 29997, which is exactly the 898 valid areas x 99 groups x 9999 serial numbers)
+  go through the same network with modular addition, so no cycle walking is needed and every pseudonym passes its check.
+
+The key is the session's setting ``spark.loomql.pii.key``.  Without it a public key is used, with a warning: whoever knows it can
+reverse the pseudonyms.
 
 A phone number keeps its country code, an e-mail address its top-level domain, a secret its name.  A secret is the
 run of letters, digits and ``+/_-.`` after a name such as ``token`` and a colon or equals sign, of any length, if it
@@ -17,18 +21,20 @@ holds a digit; one of more than ``PART`` characters is permuted in parts.  Upper
 stands next to are tried with and without.  Only texts with a digit or an ``@`` are searched at all; everything is
 DataFrame expressions.
 
-Defined cases: a null text stays null and has no findings, an empty one stays empty; numbers that fail their
-check stay; repeated rows all stay; an empty table gives none; extra columns are kept as they are whatever their
+Defined cases: a null text stays null and has no findings, an empty one stays empty, a very long one is searched whole; numbers
+that fail their check stay; repeated rows all stay; an empty table gives none; extra columns are kept as they are whatever their
 names.  Days and months of 1/2/1990 are read month first if that is a date; other separators day first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "change-this-key"
+KEY, KEY_SETTING = "change-this-key", "spark.loomql.pii.key"
 KINDS = ("email", "secret", "iban", "ip", "phone", "date", "ssn", "card")
 
 #: Patterns of each kind, tried in this order at every place; group 1 of the whole is the secret.
@@ -172,6 +178,14 @@ def _date(m: str, key: str) -> str:
     return f"if({found} IS NOT NULL, transform(array({new}), n -> {shown})[0], {m})"
 
 
+def _ssn(m: str, key: str) -> str:
+    area, group, serial = f"int(substring({m}, 1, 3))", f"int(substring({m}, 5, 2))", f"int(substring({m}, 8, 4))"
+    number = f"((cast({area} as bigint) - 1 - if({area} > 666, 1, 0)) * 99 + {group} - 1) * 9999 + {serial} - 1"
+    new = feistel_pair(f"({number})", 29997, 29634, key, "ssn")
+    shown = "concat_ws('-', lpad(string(n div 989901 + if(n div 989901 >= 665, 2, 1)), 3, '0'), lpad(string(n div 9999 % 99 + 1), 2, '0'), lpad(string(n % 9999 + 1), 4, '0'))"
+    return f"transform(array({new}), n -> {shown})[0]"
+
+
 def _email(m: str, key: str) -> str:
     body, end = f"regexp_extract({m}, '^(.*[.])[A-Za-z]+$', 1)", f"regexp_extract({m}, '[A-Za-z]+$', 0)"
     return f"concat({feistel_text(body, key, 'email')}, {end})"
@@ -196,8 +210,8 @@ def _phone(m: str, key: str) -> str:
 
 def pseudonym(kind: str, m: str, key: str) -> str:
     """SQL for the pseudonym of a found value; a value that fails its check is returned as it is."""
-    made = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "phone": _phone, "date": _date, "card": _card}
-    return made[kind](m, key) if kind in made else feistel_text(m, key, kind)
+    made = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "phone": _phone, "date": _date, "ssn": _ssn, "card": _card}
+    return made[kind](m, key)
 
 
 def _kind_of(m: str) -> str:
@@ -213,8 +227,17 @@ def _kind_of(m: str) -> str:
     return "CASE " + " ".join(f"WHEN {m} RLIKE '{p}' THEN '{k}'" for k, p in plain.items()) + " ELSE 'phone' END"
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The session's key; the public one where none is set."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} isn't set: pseudonyms are made with a public key", stacklevel=2)
+    return key or KEY
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
     """(row, text, found): the input row as a struct, its new text, and (kind, pseudonym, changed) of each finding in order."""
+    key = key_of(docs.sparkSession) if key is None else key
     text = F.col(f"`{column}`").cast("string")
     searched = F.when(F.regexp_like(text, F.lit("[0-9@]")), text)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t"), F.regexp_extract_all(searched, F.lit(ANY), F.lit(0)).alias("m"))

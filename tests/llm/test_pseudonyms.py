@@ -1,6 +1,7 @@
 """Pseudonyms: formats, checks, links, and the permutations themselves."""
 
 import datetime
+import hashlib
 import random
 import re
 
@@ -127,3 +128,80 @@ def test_awkward_rows(spark, odd, empty, docs):
     assert op.pseudonymise(empty).count() == 0
     long = "9" * 100_000 + " " + "a" * 100_000 + "@" + "1 " * 1000
     assert replaced(spark, [long]) == [long]
+
+
+def test_social_security_numbers_stay_valid_and_reversible(spark):
+    """Every pseudonym has a valid area, group and serial number; different numbers have different ones."""
+    rng = random.Random(9)
+    edge = ["001-01-0001", "899-99-9999", "665-99-9999", "667-01-0001"]
+    numbers = edge + [f"{rng.choice([a for a in range(1, 900) if a != 666]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}" for _ in range(1500)]
+    made = replaced(spark, [f"ssn {n}." for n in numbers])
+    assert all(re.fullmatch(r"ssn (?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\.", m) for m in made)
+    assert len(set(made)) == len(set(numbers)) and sum(a == b for a, b in zip(numbers, made)) == 0
+
+
+def plain_shift(key, tag, turn, other, at):
+    digest = hashlib.sha512(f"{key}|{tag}|{turn}|{','.join(map(str, other))}".encode()).hexdigest()
+    return int(digest[4 * (at % 32) : 4 * (at % 32) + 4], 16)
+
+
+def plain_text(value, key, tag):
+    """The Feistel network over characters in plain Python."""
+    sets = (("0", 10), ("a", 26), ("A", 26))
+    cells = [next(((ord(c) - ord(a), r, a) for a, r in sets if 0 <= ord(c) - ord(a) < r), None) for c in value]
+    moved = [c for c in cells if c]
+    half = len(moved) // 2
+    left, right = [c[0] for c in moved[:half]], [c[0] for c in moved[half:]]
+    for k in range(1, op.ROUNDS + 1):
+        if k % 2:
+            left = [(x + plain_shift(key, tag, k, right, i)) % moved[i][1] for i, x in enumerate(left)]
+        else:
+            right = [(x + plain_shift(key, tag, k, left, i)) % moved[half + i][1] for i, x in enumerate(right)]
+    new = iter([chr(ord(c[2]) + v) for c, v in zip(moved, left + right)])
+    return "".join(next(new) if c else v for c, v in zip(cells, value))
+
+
+def plain_pair(number, low, high, key, tag):
+    left, right = divmod(number, low)
+    for k in range(1, op.ROUNDS + 3):
+        if k % 2:
+            left = (left + plain_shift(key, tag, k, [right], 0)) % high
+        else:
+            right = (right + plain_shift(key, tag, k, [left], 0)) % low
+    return left * low + right
+
+
+def test_permutations_equal_plain_python(spark):
+    phones = ["213-555-0198", "(743) 555-3824"]
+    cards = ["4381893557741609", "4111 1111 1111 1111"]
+    ips = ["8.196.197.208", "255.0.0.1"]
+    numbers = ["123-45-6789", "899-99-9999"]
+    got = replaced(spark, [f"x {v} y" for v in phones + cards + ips + numbers])
+    want = [plain_text(p, op.KEY, "phone") for p in phones]
+    for c in cards:
+        body = plain_text(c[:-1], op.KEY, "card")
+        want.append(body + next(d for d in "0123456789" if luhn(re.sub("[^0-9]", "", body + d))))
+    for i in ips:
+        a = [int(x) for x in i.split(".")]
+        n = plain_pair(((a[0] * 256 + a[1]) * 256 + a[2]) * 256 + a[3], 65536, 65536, op.KEY, "ip")
+        want.append(".".join(str(n >> s & 255) for s in (24, 16, 8, 0)))
+    for s in numbers:
+        a, g, r = map(int, s.split("-"))
+        n = plain_pair(((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + r - 1, 29997, 29634, op.KEY, "ssn")
+        area = n // 989901 + 1
+        want.append(f"{area + (area >= 666):03}-{n // 9999 % 99 + 1:02}-{n % 9999 + 1:04}")
+    assert got == [f"x {w} y" for w in want]
+
+
+def test_query_and_key(spark, small, docs):
+    """The query's findings are where its texts differ; another key gives other pseudonyms."""
+    rows = {r["doc_id"]: r for r in op.op5_pseudonyms(spark, small).collect()}
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all((rows[i]["text"] != t) == (rows[i]["n_found"] > 0) and (rows[i]["n_found"] > 0) == (rows[i]["kinds"] != "") for i, t in before.items())
+    spark.conf.set(op.KEY_SETTING, "another")
+    try:
+        other = {r["doc_id"]: r for r in op.op5_pseudonyms(spark, small).collect()}
+    finally:
+        spark.conf.unset(op.KEY_SETTING)
+    assert all((rows[i]["n_found"], rows[i]["kinds"]) == (other[i]["n_found"], other[i]["kinds"]) for i in rows) and any(rows[i]["text"] != other[i]["text"] for i in rows)
+    assert "Python" not in op.pseudonymise(docs)._jdf.queryExecution().executedPlan().toString()
