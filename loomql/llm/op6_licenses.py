@@ -9,13 +9,13 @@ Base: the places where a phrase's words stand next to each other.  The method ad
    template's first word in the text), and votes within ``SLACK`` words of each other add up, each word
    of the template once;
 4. a template whose votes hold at least ``ENOUGH`` of the IDF of its own ``RARE`` rarest words is a
-   candidate, and becomes a label if one of its mandatory key phrases occurs in the text.
+   candidate, whatever else the text holds; a candidate becomes a label if one of its mandatory key phrases occurs in the text.
 
 All of it is DataFrame expressions.  A text is split once; only its licence words go on, and votes are
 summed by (text, template, place), so a text that repeats one word costs in proportion to its length.
 
-Defined cases: a null text is an empty one; texts without words have no labels and score 0; repeated rows all
-stay; an empty table gives none; other columns are ignored.  ``score`` is 1 with a base label, else
+Defined cases: a null text is an empty one; a very long text is split and looked up whole; texts without words have no labels and score 0; repeated rows all
+stay; an empty table gives none; other columns are ignored whatever their names.  ``score`` is 1 with a base label, else
 the greatest share of IDF among the labels' templates, else 0.
 """
 
@@ -35,7 +35,7 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 #: Openings of public licence notices, and phrases of which one must occur.
 TEMPLATES = {
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "released under the mit license")),
+    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("any person obtaining a copy", "released under the mit license")),
     "apache": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("licensed under the apache license", "apache license version 2 0")),
     "gpl": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "gnu gpl")),
     "lgpl": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl")),
@@ -45,6 +45,19 @@ TEMPLATES = {
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software", "isc license")),
     "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution", "licensed under cc by")),
     "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
+    "bsd-3": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("names of its contributors may be used to endorse",)),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software altered source versions must be plainly marked as such", ("altered source versions must be plainly marked",)),
+    "bsl": ("boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("boost software license", "person or organization obtaining a copy of the software")),
+    "wtfpl": ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed do what the fuck you want to public license", ("do what the fuck you want to",)),
+    "cc0": ("the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law cc0 universal", ("cc0 1 0 universal", "dedicated the work to the public domain")),
+    "cc-by-sa": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike", "licensed under cc by sa")),
+    "cc-by-nc": ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial", "licensed under cc by nc")),
+    "epl": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ("eclipse public license",)),
+    "ofl": ("this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
+    "cddl": ("the contents of this file are subject to the terms of the common development and distribution license", ("common development and distribution license",)),
+    "gfdl": ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", ("gnu free documentation license",)),
+    "artistic": ("this package is free software you can redistribute it and or modify it under the terms of the artistic license 2 0", ("artistic license",)),
+    "postgresql": ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ("without a written agreement is hereby granted", "postgresql license")),
     "apache-notice": ("licensed under the apache license version 2 0", ("licensed under the apache license", "apache license version 2 0")),
     "cc-by-notice": ("this work is licensed under cc by 4 0", ("licensed under cc by", "license cc by")),
     "gpl-notice": ("this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
@@ -119,7 +132,7 @@ def _votes(rows: DataFrame, idf: dict[str, float]) -> DataFrame:
     spark = rows.sparkSession
     table = F.broadcast(spark.createDataFrame([(w, float(idf[w]), [{"template": t, "k": k} for t, k in at]) for w, at in index.items()], f"word string, idf double, at {_VOTE}"))
     totals = F.broadcast(spark.createDataFrame([(t, float(v)) for t, v in total.items()], "template string, total double"))
-    hits = rows.where("size(hits) > 0 and size(keyed) > 0").select("id", F.explode("hits").alias("h"))
+    hits = rows.where("size(hits) > 0").select("id", F.explode("hits").alias("h"))
     votes = hits.join(table, F.col("h.word") == F.col("word")).select("id", "h.i", "word", "idf", F.explode("at").alias("v")).select("id", "word", "idf", F.col("v.template").alias("template"), (F.col("i") - F.col("v.k")).alias("start"))
     width = 2 * SLACK + 2  # two votes within SLACK share a cell of one of two grids
     cells = F.explode(F.array(F.struct(F.lit(0).alias("g"), F.floor(F.col("start") / width).alias("c")), F.struct(F.lit(1).alias("g"), F.floor((F.col("start") + SLACK + 1) / width).alias("c")))).alias("cell")
@@ -135,7 +148,8 @@ def scan(docs: DataFrame, enough: float = ENOUGH) -> DataFrame:
     """
     rows = cut(_noted(docs))
     shares = _votes(rows, _inverse_frequencies(rows))
-    accepted = shares.join(rows.where("size(keyed) > 0").select("id", "keyed"), "id").where((F.col("share") >= enough) & F.array_contains("keyed", F.col("template")))
+    candidates = shares.where(F.col("share") >= enough)
+    accepted = candidates.join(rows.where("size(keyed) > 0").select("id", "keyed"), "id").where(F.array_contains("keyed", F.col("template")))
     label = F.create_map(*[F.lit(x) for t in TEMPLATES for x in (t, LABEL_OF.get(t, t))])
     matched = accepted.groupBy("id").agg(F.array_sort(F.collect_set(F.element_at(label, F.col("template")))).alias("added"), F.max("share").alias("share"), F.array_sort(F.collect_list(F.struct("template", "share"))).alias("matches"))
     out = rows.select("id", "doc_id", "n_words", "found").join(matched, "id", "left")

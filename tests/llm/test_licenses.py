@@ -1,5 +1,6 @@
 """Licence scans against a plain reading of the base rules, and planted notices."""
 
+import math
 import re
 
 import pytest
@@ -70,3 +71,44 @@ def test_scattered_words_and_missing_key_phrases_do_not_count(spark):
     no_key = NOTICES["mpl"].replace("Mozilla Public License", "Mozilla Private License")
     rows = op.scan(spark.createDataFrame([(0, scattered), (1, no_key), (2, "mozilla " * 3000)], "doc_id long, text string")).collect()
     assert all(r["labels"] == "" for r in rows)
+
+
+def brute_labels(texts):
+    """Labels by the module's rule, one text after the other."""
+    words = [[w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w] for t in texts]
+    listed = set(op.looked_up())
+    n, df = len(texts), {}
+    for ws in words:
+        for w in set(ws) & listed:
+            df[w] = df.get(w, 0) + 1
+    idf = {w: math.log(1 + n / df[w]) if w in df else math.log(1 + n) for w in listed}
+    holds = lambda ws, phrase: any(ws[i : i + len(phrase.split())] == phrase.split() for i in range(len(ws)))
+    out = []
+    for ws in words:
+        found = {label for phrase, label in op.BASE.items() if holds(ws, phrase)}
+        for t, (text, keys) in op.TEMPLATES.items():
+            cells = {}
+            for i, w in enumerate(ws):
+                for k, x in enumerate(text.split()):
+                    if w == x and w not in op.COMMON:
+                        width = 2 * op.SLACK + 2
+                        for cell in ((0, (i - k) // width), (1, (i - k + op.SLACK + 1) // width)):
+                            cells.setdefault(cell, {})[w] = idf[w]
+            total = sum(sorted((idf[w] for w in set(op.rare_words(t))), reverse=True)[: op.RARE])
+            if max((sum(c.values()) for c in cells.values()), default=0) >= op.ENOUGH * total and any(holds(ws, key) for key in keys):
+                found.add(op.LABEL_OF.get(t, t))
+        out.append(",".join(sorted(found)))
+    return out
+
+
+def test_labels_by_brute_force(spark, docs, rng):
+    planted = [f"{prose(rng, 30)} {text} {prose(rng, 30)}" for text, _ in op.TEMPLATES.values()] + list(NOTICES.values())
+    cut = [" ".join(t.split()[: rng.randint(20, 60)]) for t in planted]
+    swapped = [" ".join(w if rng.random() < 0.8 else "river" for w in t.split()) for t in planted]
+    texts = [t for _, t in texts_of(docs)] + planted + cut + swapped + [None, "", "license " * 50]
+    rows = op.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == dict(enumerate(brute_labels(texts)))
+
+
+def test_native(spark, docs):
+    assert "Python" not in op.scan(docs)._jdf.queryExecution().executedPlan().toString()
