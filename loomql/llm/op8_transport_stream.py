@@ -10,8 +10,10 @@ their timestamps and random access points; a unit that lost a packet is left out
 ``media_column`` stores one stream a row together with its timestamps and random access points (packet
 numbers to seek to); ``media_features`` reads stored rows back.
 
-Defined cases: a null text is an empty one; an empty payload is 64 zero bytes; equal texts have
-equal streams; repeated rows all stay; an empty table gives none; other columns are ignored.
+Limits: the first program's first stream is read; a table must fit one packet.
+
+Defined cases: a null text is an empty one; an empty payload is 64 zero bytes; a very long text is one long stream; equal
+texts have equal streams; repeated rows all stay; an empty table gives none; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomql.llm.batches import groups
+from loomql.llm.batches import bound_batches, release, runs
 from loomql.plans.scratch import new_folder
 
 PACKET, HEADER, ROOM = 188, 4, 184
 SYNC, PAT_PID, PMT_PID, STREAM_PID, NULL_PID = 0x47, 0x0000, 0x0100, 0x0101, 0x1FFF
-PROGRAM, STREAM_TYPE, STREAM_ID = 1, 0x06, 0xE0
+PROGRAM, STREAM_TYPE, STREAM_ID = 1, 0x06, 0xBD
 UNIT = 16 << 10
 GROUP = 8
 TICKS = 3600  # of the 90 kHz clock between two units
@@ -198,6 +200,10 @@ def demux(stream: bytes) -> Stream:
         raise ValueError("no program table leads to a stream")
     mine = np.flatnonzero(pid == next(iter(found.streams)))
     own = rows[mine]
+    # a packet may come twice in a row, equal but for its clock: the second one is left out
+    again = np.zeros(len(own), dtype=bool)
+    again[1:] = (own[1:, 3] & 0x10 != 0) & (own[1:, :4] == own[:-1, :4]).all(axis=1) & (own[1:, 12:] == own[:-1, 12:]).all(axis=1)
+    mine, own = mine[~again], own[~again]
     counter = own[:, 3] & 15
     carries = own[:, 3] & 0x10 != 0
     jump = np.zeros(len(own), dtype=bool)
@@ -229,16 +235,15 @@ def demux(stream: bytes) -> Stream:
 
 
 def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
-        at = 0
-        for run in groups([x or "" for x in batch.column(1).to_pylist()], 4 << 20):
+        for part, run in runs(batch, 1, 4 << 20):
             raw = [t.encode() for t in run]
             media, pts, points = zip(*(mux_indexed(x + b"\x00" * (max(1, -(-len(x) // ALIGN)) * ALIGN - len(x))) for x in raw))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(run)), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), pa.array(pts, pa.list_(pa.int64())), pa.array(points, pa.list_(pa.int64()))],
+                [part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), pa.array(pts, pa.list_(pa.int64())), pa.array(points, pa.list_(pa.int64()))],
                 ["doc_id", "n_bytes", "media", "pts", "access_points"],
             )
-            at += len(run)
 
 
 _STORED = "doc_id long, n_bytes long, media binary, pts array<long>, access_points array<long>"
@@ -246,6 +251,7 @@ _STORED = "doc_id long, n_bytes long, media binary, pts array<long>, access_poin
 
 def media_column(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media, pts, access_points): each text as a transport stream with its index."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store_batches, _STORED)
 
 
