@@ -8,15 +8,17 @@ delta encoded, row groups are ``ROW_GROUP`` bytes and pages ``PAGE`` bytes with
 reader can fetch metadata alone, or the pages of one document.
 
 Cost: documents are dealt by ranges of (doc_id, hash of the text) as text, which is smaller than ids,
-and encoded where they are written.  A global running total needs only one number per file.
+and encoded where they are written.  A global running total needs only one number per file.  ``read_metadata`` reads the delta-encoded
+columns alone, ``read_ids`` the pages of a range of documents.
 
-Defined cases: a null text is an empty one and has the end id alone; null doc_ids come first;
+Defined cases: a null text is an empty one and has the end id alone; a very long text, with or without spaces, is encoded whole; null doc_ids come first;
 rows of equal doc_id are ordered by a hash of their text and repeated rows all stay; an empty table
-gives none; other columns of the input are ignored.
+gives none; other columns of the input are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomql.llm.batches import groups
+from loomql.llm.batches import bound_batches, held, runs
 from loomql.plans.scratch import new_folder
 
 END_ID = 2
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
-CACHE_WORDS = 1_200_000
+#: Bounds of a worker's memory of words: their number, and the characters of one (longer ones aren't kept).
+CACHE_WORDS, LONGEST_KEPT = 900_000, 48
 _FILE = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
 
@@ -60,6 +63,7 @@ class ChunkEncoder:
         self.leads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that begin with a space
         self.leads[[i for piece, i in self.tokenizer.get_vocab().items() if piece.startswith("\u0120")]] = True
         self.words: dict[str, bytes] = {}
+        self.fresh: list[str] = []
 
     def _library(self, texts: list[str]) -> list[bytes]:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -82,6 +86,7 @@ class ChunkEncoder:
         rest = [w for w in words if not w.isalpha()]
         odd = {w for w in rest if not w or w[0].isspace() or w[-1].isspace()}
         split, known = {}, self.words
+        self.fresh = list(words)
         for w in rest:
             core = w.rstrip(".,")
             if core != w and core and core[-1].isalpha() and w not in odd:
@@ -99,6 +104,7 @@ class ChunkEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.words) > CACHE_WORDS:
             self.words = {}
+        self.fresh = []
         get = self.words.get
         cut = [t.partition(" ") for t in texts]
         tails = [c[2].split(" ") if c[1] else [] for c in cut]
@@ -111,19 +117,16 @@ class ChunkEncoder:
         alone = [i for i in gaps if None in found[i]] if odd else []
         single = {*alone, *(i for i, c in enumerate(cut) if not c[1] or not c[0] or c[0][-1].isspace())}
         heads = self._library([texts[i] if i in single else cut[i][0] for i in range(len(texts))])
+        for w in self.fresh:
+            if len(w) > LONGEST_KEPT:
+                self.words.pop(w, None)
         return [h if i in single else h + b"".join(found[i]) for i, h in enumerate(heads)]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder for a tokenizer file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return held(("tokenizers", path), lambda: ChunkEncoder(path))
 
 
 def _encode_batches(path: str, end_id: int):
@@ -131,14 +134,12 @@ def _encode_batches(path: str, end_id: int):
         part, done, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u4").tobytes()
         code = encoder(path)
         for batch in batches:
-            at = 0
-            for run in groups([x or "" for x in batch.column(1).to_pylist()]):
+            for piece, run in runs(batch, 1):
                 ids = [x + end for x in code.encode(run)]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(np.full(len(run), part, np.int32)), pa.array(done + ends - n), pa.array(n.astype(np.int32)), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
-                at += len(run)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(run), part, np.int32)), pa.array(done + ends - n), pa.array(n.astype(np.int32)), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
                 done += int(ends[-1])
 
     return work
@@ -146,6 +147,7 @@ def _encode_batches(path: str, end_id: int):
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Write the ids of every text to Parquet files in ``folder``, in ascending doc_id order."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -175,6 +177,16 @@ def read_token_digests(spark, folder: str) -> DataFrame:
     return rows.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_metadata(spark, folder: str) -> DataFrame:
+    """(doc_id, part, local_start, n_tokens) of token files; the ids' pages aren't read."""
+    return spark.read.schema(_FILE).parquet(folder).select("doc_id", "part", "local_start", "n_tokens")
+
+
+def read_ids(spark, folder: str, first: int, last: int) -> DataFrame:
+    """(doc_id, ids) of the documents from ``first`` to ``last``: files and row groups are chosen by their statistics, pages by their index."""
+    return spark.read.schema(_FILE).parquet(folder).where(F.col("doc_id").between(first, last)).select("doc_id", "ids")
+
+
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)

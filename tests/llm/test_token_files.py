@@ -4,6 +4,7 @@ import random
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from llm.conftest import texts_of
@@ -75,3 +76,32 @@ def test_awkward_rows(spark, odd, empty, tmp_path, library):
     assert order == sorted(order, key=lambda i: (i is not None, i))
     op.write_token_files(empty, str(tmp_path / "empty"))
     assert op.read_token_digests(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_selective_reads(spark, docs, tmp_path):
+    """A range of documents is read by pages, metadata without the ids' columns."""
+    import pyarrow.parquet as pq
+
+    folder = str(tmp_path / "files")
+    many = docs.select("doc_id", "text").unionByName(docs.select((docs.doc_id + 1000).alias("doc_id"), "text")).unionByName(docs.select((docs.doc_id + 2000).alias("doc_id"), "text"))
+    op.write_token_files(many, folder)
+    every = {r["doc_id"]: r["ids"] for r in spark.read.parquet(folder).collect()}
+    some = op.read_ids(spark, folder, 1010, 1019)
+    assert {r["doc_id"]: r["ids"] for r in some.collect()} == {i: x for i, x in every.items() if 1010 <= i <= 1019}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,1010)" in plan and "ReadSchema: struct<doc_id:bigint,ids:array<int>>" in plan
+    meta = op.read_metadata(spark, folder)
+    assert "ids" not in meta._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert {r["doc_id"]: r["n_tokens"] for r in meta.collect()} == {i: len(x) for i, x in every.items()}
+    file = max(tmp_path.glob("files/*.parquet"), key=lambda f: f.stat().st_size)
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    columns = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
+    assert all(c.has_column_index and c.has_offset_index for n, c in columns.items() if not n.startswith("ids")) and columns["doc_id"].statistics.has_min_max
+    assert sum(c.total_compressed_size for n, c in columns.items() if not n.startswith("ids")) < 0.1 * sum(c.total_compressed_size for c in columns.values())
+
+
+def test_long_texts_without_spaces(spark, library):
+    texts = ["x" * 100_000, "日本語" * 20_000, "word " * 50_000]
+    coder = op.ChunkEncoder(op.default_tokenizer())
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in coder.encode(texts)] == library(texts)
+    assert max(map(len, coder.words), default=0) <= op.LONGEST_KEPT
