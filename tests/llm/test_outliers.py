@@ -5,6 +5,8 @@ import re
 import numpy as np
 from llm.conftest import prose, texts_of
 
+from pyspark.sql import functions as F
+
 from loomql.llm import op10_outliers as op
 
 
@@ -42,7 +44,7 @@ def test_junk_goes_and_prose_stays(spark, rng):
     rows = [(i, prose(rng, rng.randint(60, 300)) + ".", "en", f"s{i % 2}") for i in range(300)]
     rows += [(1000 + i, " ".join(w + "$$$" for w in prose(rng, 200).split()), "en", "s0") for i in range(12)]
     rows += [(2000 + i, prose(rng, 200).upper(), "en", "s1") for i in range(12)]
-    rows += [(3000, prose(rng, 200).upper(), "xx", None)]  # too small a group joins others
+    rows += [(3000, prose(rng, 200).upper(), "xx", None)]  # a group of one is judged by the language and all others
     got = {r["doc_id"]: r["kept"] for r in check(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))}
     assert all(got[i] for i in range(300)) and not any(got[i] for i in got if 1000 <= i < 3000)
 
@@ -54,8 +56,8 @@ def test_concentration_finds_the_core(spark):
     clean = rng.multivariate_normal([5, 0.2, 0.2, 0.3, 0.4], np.diag([0.4, 0.02, 0.03, 0.05, 0.08]) ** 2, 800)
     clean[:, 1] += 0.3 * (clean[:, 0] - 5) * 0.05
     bad = rng.normal([9, 0.9, 0.7, 0.9, 0.9], 0.01, (200, 5))
-    data = [("g", *map(float, x)) for x in np.vstack([clean, bad])]
-    fit = spark.createDataFrame(data, "grp string, " + ", ".join(f"{n} double" for n in names))
+    data = [("l", "g", *map(float, x)) for x in np.vstack([clean, bad])]
+    fit = spark.createDataFrame(data, "language string, grp string, " + ", ".join(f"{n} double" for n in names))
     e = op.estimates(fit).first()
     mean = np.array([e[f"m{i}"] for i in range(5)])
     low = np.array([[e[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
@@ -68,7 +70,7 @@ def test_concentration_finds_the_core(spark):
     below = np.concatenate([[0], np.cumsum(counts)[:-1]])
     core = x[below[bins] < op.CORE * len(x)]
     assert not (core[:, 0] > 8).any()
-    nxt = op._concentrate(fit, op.estimates(fit)).first()
+    nxt = op._concentrate(fit.withColumn("start", F.lit(0)), op.estimates(fit)).first()
     assert np.allclose([nxt[f"m{i}"] for i in range(5)], core.mean(axis=0))
     cov = np.cov(core.T, bias=True) + np.diag(np.array(list(op.STATISTICS.values())) ** 2)
     got = np.array([[nxt[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
@@ -85,3 +87,20 @@ def test_quality_labels(spark):
 
 def test_native(spark, docs):
     assert "Python" not in op.judge(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_of_any_size_are_judged(spark, rng):
+    """No size at which the rules are switched off: odd texts go from small tables and small groups too, prose stays."""
+    for n in (5, 20, 70):
+        rows = [(i, prose(rng, 150) + ".", "en", f"s{i % 3}") for i in range(n)] + [(1000, " ".join(w + "$$$" for w in prose(rng, 300).split()), "en", "s9")]
+        got = {r["doc_id"]: (r["kept"], r["distance"]) for r in op.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert all(got[i][0] for i in range(n)) and got[1000][1] > 3 * max(got[i][1] for i in range(n)) and (n < 20 or not got[1000][0])
+
+
+def test_the_least_determinant_is_kept(spark, rng):
+    rows = [("l", f"g{i % 2}", *[rng.gauss(0.5, 0.1 + 0.2 * (i % 5 == 0)) for _ in op.STATISTICS]) for i in range(400)]
+    fit = spark.createDataFrame(rows, "language string, grp string, " + ", ".join(f"{n} double" for n in op.STATISTICS))
+    many = fit.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(op.STARTS)])))
+    two = op._concentrate(many, op._concentrate(many, op._starts(fit)))
+    least = {r["grp"]: r["d"] for r in two.groupBy("grp").agg(F.min("logdet").alias("d")).collect()}
+    assert all(r["logdet"] <= least[r["grp"]] + 1e-9 for r in op.estimates(fit).collect())
