@@ -35,7 +35,7 @@ END_ID = 2
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 #: Bounds of a worker's memory of words: their number, and the characters of one (longer ones aren't kept).
-CACHE_WORDS, LONGEST_KEPT = 900_000, 48
+CACHE_WORDS, LONGEST_KEPT = 1_200_000, 48
 _FILE = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
 
