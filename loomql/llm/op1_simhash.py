@@ -18,6 +18,9 @@ The search therefore
 A key that holds more than ``BLOCK`` fingerprints is cut into blocks and all pairs of
 blocks are compared in different tasks.
 
+This is the law of ``near_duplicates``.  ``representatives``, which the pipeline calls, links texts by shingles of five words and a similarity of 0.8
+(``near_copies``), for which a budget of 3 bits is too narrow.
+
 A fingerprint that many rows share is joined to its component by broadcast: at most ``HOT`` fingerprints can hold more than
 that part of the rows each.  Texts themselves are shuffled once, and only where rows are chosen (``representatives``).
 
@@ -30,38 +33,29 @@ columns of the input are ignored by ``near_duplicates`` and kept by ``representa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomql.llm import near_copies
 from loomql.llm.batches import bound_batches, release, runs
 from loomql.operators.components import connected_components
 from loomql.plans.scratch import cut, small_side
 
-SEED = 42
 SHINGLE = 3
 SEGMENT = 16
 SEGMENTS = 4
 BLOCK = 4096
 HOT = 1000
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def fingerprint(text: str | None) -> int:
     """Unsigned 64-bit SimHash of one text (XXH64 of 3-word shingles, majority per bit)."""
-    words = (text or "").encode().translate(LOWER).split()
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    shingles = map(b" ".join, zip(words, words[1:], words[2:]))
-    n = len(words) - SHINGLE + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n)
+    hashes = near_copies.shingle_hashes(text, SHINGLE)
+    n = len(hashes)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -86,26 +80,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, least node) with the same components as the links u-v."""
-    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        while not np.array_equal(jump := new[new], new):
-            new = jump
-        if np.array_equal(new, label):
-            break
-        label = new
-    other = label != np.arange(len(nodes))
-    return nodes[other], nodes[label[other]]
-
-
 def _near(x: np.ndarray) -> np.ndarray:
     """The chain test on xor values whose start segment is the lowest: budgets 0, 1, 2, then 3 in all."""
     chain = (x & np.uint64(0xFFFF)) == 0
@@ -163,7 +137,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         a, b = _group_links(group, fp, base)
         real = _unrotate(fp, start).view(np.int64)
         u, v = real[a], real[b]
-        u, v = _forest(u[u != v], v[u != v])
+        u, v = near_copies.forest(u[u != v], v[u != v])
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     for batch in batches:
@@ -239,15 +213,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, words: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: the one of least doc_id, null last.
 
-    Chosen rows are found by their doc_id; only those whose doc_id is null or occurs twice are found by their fingerprint as well.
+    Links are those of ``near_copies``: shingles of ``words`` words, of which two texts share at least ``similarity``.  Chosen rows are found by their doc_id; only those whose doc_id is null or occurs twice are found by their fingerprint as well.
     """
-    marks = cut(fingerprints(docs))
-    nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    marks = cut(near_copies.marks(docs, words))
     order = F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id"), F.col("fp"))
-    chosen = cut(_classes(nodes).groupBy("root").agg(F.min(order).alias("c")).select("c.fp", "c.least_id"))
+    chosen = cut(near_copies.classes(marks, similarity).groupBy("root").agg(F.min(order).alias("c")).select("c.fp", "c.least_id"))
     repeated = cut(marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     unclear = not repeated.isEmpty() or not chosen.where("least_id is null").isEmpty()
     clear = chosen.where("least_id is not null").select("least_id")
@@ -261,7 +234,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
         @F.pandas_udf("long")
         def fp_of(texts: pd.Series) -> pd.Series:
-            return pd.Series(_values([t or "" for t in texts]))
+            return pd.Series(near_copies.text_nodes([t or "" for t in texts], words))
 
         nulls = rows.where("id is null")
         twice = rows.join(small_side(repeated), F.col("id") == F.col("doc_id"), "left_semi").unionByName(nulls)

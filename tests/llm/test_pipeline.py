@@ -1,9 +1,10 @@
 """The pipeline: every stage's decisions take effect on all that its predecessor kept."""
 
 import corpus_pipeline
-from llm.conftest import KINDS
+from llm.conftest import KINDS, texts_of
+from llm.test_near_copies import kept_of
 
-from loomql.llm import op1_simhash, op3_toxicity, op5_pseudonyms, op7_mixing
+from loomql.llm import op3_toxicity, op5_pseudonyms, op7_mixing
 
 
 def test_stages(spark, small, docs):
@@ -21,7 +22,7 @@ def test_stages(spark, small, docs):
         if name == "toxicity":
             assert ids == sorted(i for i, p in scores.items() if p == 0) and len(ids) < docs.count()
         elif name == "simhash":
-            assert ids == sorted({r["component_id"] for r in op1_simhash.near_duplicates(before).collect()})
+            assert ids == sorted(kept_of(texts_of(before)))
         elif name == "pseudonyms":
             new = {r["row"]["doc_id"]: r["text"] for r in op5_pseudonyms.pseudonymise(before).collect()}
             assert {r["doc_id"]: r["text"] for r in at.collect()} == new

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from llm.conftest import KINDS, prose, rows_of, texts_of
 
+from loomql.llm import near_copies
 from loomql.llm import op1_simhash as op
 
 
@@ -116,25 +117,12 @@ def test_links_with_any_key_width_and_blocks(spark):
 def test_forest_keeps_components():
     rng = np.random.default_rng(0)
     u, v = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
-    a, b = op._forest(u, v)
+    a, b = near_copies.forest(u, v)
     nodes = sorted({*u.tolist(), *v.tolist()})
     assert components(nodes, zip(u.tolist(), v.tolist())) == components(nodes, zip(a.tolist(), b.tolist()))
     assert len(a) == len(nodes) - len(components(nodes, zip(u.tolist(), v.tolist())))
 
 
-def test_one_row_stays_of_each_component(spark, docs, odd, empty):
-    for df in (docs, odd):
-        kept = op.representatives(df)
-        assert kept.columns == df.columns
-        got = sorted(((r["doc_id"], slow_fingerprint(r["text"])) for r in kept.collect()), key=repr)
-        expected = {}
-        for (i, f, c) in brute(texts_of(df)):
-            expected.setdefault((c, f if c is None else None), set()).add((i, int(f, 16)))
-        assert len(got) == len(expected)
-        assert all(i == c for c, (i, _) in zip(sorted((c for c, _ in expected if c is not None)), [g for g in sorted(got, key=lambda x: (x[0] is None, x[0] or 0)) if g[0] is not None]))
-    assert op.representatives(empty).count() == 0
-
-
 def test_schema_of_input(spark):
     df = spark.createDataFrame([(1, "a b c d", "en", "s", 7)], KINDS)
     assert op.near_duplicates(df).columns == ["doc_id", "fingerprint", "component_id"]
