@@ -1,17 +1,20 @@
 """Near copies by similarity: texts whose sets of word shingles have a Jaccard similarity of at least 0.8, or another bound.
 
 A budget of 3 of 64 bits, as ``op1_simhash`` searches it, is far narrower than that: two texts of similarity 0.8 differ in about
-15 % of their bits, and no chain of so distant fingerprints is a selective key.  So the search has three steps:
+15 % of their bits, and chains of so distant fingerprints of 64 bits aren't selective.  So the fingerprint is wider, and the search has three steps:
 
-1. a text's distinct shingles give a SimHash of ``BITS`` bits and ``SYMBOLS`` least hashes, one for each interval of hash values.
-   The least hashes are the ring's segments here, in ``CHAINS`` chains that must agree whole: texts that differ in fewer symbols than there are
-   chains always share one, by the pigeonhole principle, and of pairs at 0.8 all but 2 in 10,000 do.  Chains are the join keys;
-2. under a key, fingerprints within a loose budget (that of a similarity less by ``SLACK``: 3.5 standard deviations of the
-   fingerprints' distance at 0.8) are linked; components of these links are where near copies can be;
-3. within a component, pairs within the loose budget are compared by the exact Jaccard similarity of their shingles' hashes (32 bits).
+1. a text's distinct shingles give a SimHash of ``RING`` bits, read as a ring of 64 segments of ``SEGMENT`` bits.  Candidates are found by pigeonring chains:
+   two texts meet under a start segment, of which the first ``KEY`` bits must be equal, and the chains of ``CHAIN_BITS`` bits from that start must lie within their share of
+   a loose budget (that of a similarity less by ``SLACK``).  Fingerprints that differ in fewer bits than there are segments always meet (the ring's chains
+   of 1, 2, 3, ... segments then differ by at most 0, 1, 2, ... bits from some start); beyond that any of 64 starts may do, and of pairs at 0.8
+   all but a few in 10,000 of the shortest texts have one;
+2. a spanning forest of the links under each key gives components, in which near copies can be;
+3. within a component, pairs within a looser budget of the first ``BITS`` bits are compared by the exact Jaccard similarity of their shingles' hashes (32 bits).
 
 Texts of one fingerprint are one node.  A key or component that more than a block of nodes share is cut into blocks, and all pairs of blocks are compared in different
-tasks.  Of the links in a block only a spanning tree is searched: a node is compared with those that no node before has reached.
+tasks.  Of the links in a large block only a spanning tree is searched: a node is compared with those that no node before has reached.
+
+Cost: a node has one row a start, of 128 bits of its ring; under a key there are n / 2 ** ``KEY`` of n nodes, so comparisons grow as n * n / 32, some nanoseconds each.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are one node; a text with fewer words than a
 shingle is one shingle; a very long text is read whole, its hashes in blocks; repeated rows are one node; an empty table gives none; other
@@ -36,12 +39,16 @@ from loomql.plans.scratch import cut, small_side
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-SHINGLE, SIMILARITY, SLACK = 5, 0.8, 0.2
-BITS, SYMBOLS, CHAINS = 256, 64, 16
-BLOCK, EXACT_BLOCK = 4096, 1024
-_FP = [f"f{k}" for k in range(BITS // 64)]
-_KEYS = [f"k{k}" for k in range(CHAINS)]
-_BOUNDS = np.arange(SYMBOLS, dtype=np.uint64) * np.uint64((1 << 64) // SYMBOLS)
+SHINGLE, SIMILARITY, SLACK, EXACT_SLACK = 5, 0.8, 0.2, 0.4
+RING, SEGMENT, KEY, BITS = 1024, 16, 10, 256
+STARTS = RING // SEGMENT
+CHAIN_BITS = (64, 128)
+BLOCK, EXACT_BLOCK = 32768, 1024
+#: Groups of at most so many rows are compared pair by pair, larger ones by spanning trees; links held before they are made a forest.
+LAGS, HELD_LINKS = 1024, 1 << 20
+_RING = [f"f{k}" for k in range(RING // 64)]
+_FP = _RING[: BITS // 64]
+_CHAIN = [f"w{k}" for k in range(CHAIN_BITS[-1] // 64)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,9 +62,9 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n)
 
 
-def budget(similarity: float) -> int:
-    """Bits in which fingerprints of two texts of this Jaccard similarity are expected to differ."""
-    return round(BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def budget(similarity: float, bits: int = BITS) -> int:
+    """Bits of ``bits`` in which fingerprints of two texts of this Jaccard similarity are expected to differ."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,20 +74,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """The fingerprint's words, then the chains' keys, of distinct sorted hashes, as one row of unsigned 64-bit integers."""
-    if not len(h):
-        return np.zeros(len(_FP) + CHAINS, dtype=np.uint64)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(h), 1 << 12):
-        part = _mixed(h[at : at + (1 << 12), None] + _STEP * np.arange(len(_FP), dtype=np.uint64))
+def ring(h: np.ndarray) -> np.ndarray:
+    """The fingerprint of distinct hashes: the ring's bits in unsigned 64-bit words."""
+    ones = np.zeros(RING, dtype=np.int64)
+    for at in range(0, len(h), 1 << 9):
+        part = _mixed(h[at : at + (1 << 9), None] + _STEP * np.arange(len(_RING), dtype=np.uint64))
         ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    fp = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
-    symbols = h[np.searchsorted(h, _BOUNDS) % len(h)].reshape(CHAINS, -1)  # an empty interval takes the next one's
-    keys = np.arange(CHAINS, dtype=np.uint64)
-    for k in range(symbols.shape[1]):
-        keys = _mixed(keys + _STEP + symbols[:, k])
-    return np.concatenate([fp, keys])
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
+def rings(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``ring`` for each set of hashes."""
+    return np.stack([ring(h) for h in sets]) if sets else np.empty((0, len(_RING)), dtype=np.uint64)
+
+
+def starts(fp: np.ndarray) -> np.ndarray:
+    """The keys of each ring (a row), one a start: the start's number and the first bits of its segment."""
+    segments = np.ascontiguousarray(fp).view("<u2").astype(np.int64)
+    return (np.arange(STARTS, dtype=np.int64) << KEY) | (segments & ((1 << KEY) - 1))
+
+
+def chains(fp: np.ndarray) -> np.ndarray:
+    """The two words that follow each start of each ring, the start's segment included: rows, starts, words."""
+    segments = np.ascontiguousarray(fp).view("<u2")
+    around = (np.arange(STARTS)[:, None] + np.arange(CHAIN_BITS[-1] // SEGMENT)) % STARTS
+    return np.ascontiguousarray(segments[:, around]).view("<u8")
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The first ``BITS`` bits' words, then the starts' keys, of distinct sorted hashes, as one row of unsigned 64-bit integers."""
+    fp = ring(h)[None, :]
+    return np.concatenate([fp[0, : len(_FP)], starts(fp)[0].astype(np.uint64)])
 
 
 def nodes_of(fp: np.ndarray) -> np.ndarray:
@@ -91,11 +115,6 @@ def nodes_of(fp: np.ndarray) -> np.ndarray:
     return node.view(np.int64)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of ``sketch`` for each set of hashes."""
-    return np.stack([sketch(h) for h in sets]) if sets else np.empty((0, len(_FP) + CHAINS), dtype=np.uint64)
-
-
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """The distinct hashes of each text's shingles, sorted."""
     return [np.unique(shingle_hashes(t, width)) for t in texts]
@@ -103,30 +122,30 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
 
 def text_nodes(texts: list[str], width: int = SHINGLE) -> np.ndarray:
     """The node of each text."""
-    return nodes_of(sketches(shingle_sets(texts, width))[:, : len(_FP)])
+    return nodes_of(rings(shingle_sets(texts, width)))
 
 
 def marks(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, f0.., k0.., shingles, rid) for every row of ``docs``: its node, fingerprint, chains, hashes, and a number of its own."""
+    """(doc_id, fp, f0.., shingles, rid) for every row of ``docs``: its node, fingerprint, hashes, and a number of its own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for part, texts in runs(batch, 1):
                 sets = shingle_sets(texts, width)
-                rows = sketches(sets)
+                rows = rings(sets)
                 columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T]
                 short = pa.array([np.unique(h.astype("<u4")).tobytes() for h in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes_of(rows[:, : len(_FP)])), *columns, short], ["doc_id", "fp", *_FP, *_KEYS, "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes_of(rows)), *columns, short], ["doc_id", "fp", *_RING, "shingles"])
 
     bound_batches(docs.sparkSession)
-    schema = ", ".join(f"{c} long" for c in ["doc_id", "fp", *_FP, *_KEYS]) + ", shingles binary"
+    schema = ", ".join(f"{c} long" for c in ["doc_id", "fp", *_RING]) + ", shingles binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, schema).withColumn("rid", F.monotonically_increasing_id())
 
 
 def nodes(marked: DataFrame) -> DataFrame:
-    """One row a node: fp, f0.., k0.. (each the least of its texts' keys), ``least_id`` and ``least_rid``."""
-    least = [F.min(c).alias(c) for c in [*_FP, *_KEYS]]
+    """One row a node: fp, f0.., ``least_id`` and ``least_rid``."""
+    least = [F.min(c).alias(c) for c in _RING]
     return marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min("rid").alias("least_rid"), *least)
 
 
@@ -162,32 +181,48 @@ def _spanning(n: int, reach: Callable[[int, np.ndarray], np.ndarray]) -> list[tu
         while queue and len(rest):
             one = queue.pop()
             hit = reach(one, rest)
+            if not hit.any():
+                continue
             new, rest = rest[hit], rest[~hit]
             found.append((np.full(len(new), one), new))
             queue += new.tolist()
     return found
 
 
-def group_links(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _chained(words: np.ndarray, a: np.ndarray, b: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
+    """Which pairs of rows lie within each chain's budget, the shorter chain first."""
+    hit = np.flatnonzero(np.bitwise_count(words[a, 0] ^ words[b, 0]) <= bits[0])
+    near = np.zeros(max(len(a), len(b)), dtype=bool)
+    x, y = (r if len(r) == 1 else r[hit] for r in (a, b))
+    near[hit] = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64) <= bits[1]
+    return near
+
+
+def group_links(group: np.ndarray, words: np.ndarray, bits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows of equal ``group`` (rows sorted by it), enough for their components."""
     edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     length = np.diff(edges)
-    out = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
-    rows = np.flatnonzero(np.repeat(length <= 32, length))
+    none = np.empty(0, dtype=np.int64)
+    out, held = [(none, none)], 0
+    rows = np.flatnonzero(np.repeat(length <= LAGS, length))
     left, lag = np.repeat(edges[1:], length)[rows], 1
     while len(rows):
         keep = rows + lag < left
         rows, left = rows[keep], left[keep]
-        hit = _close(fp, rows, rows + lag, bits)
-        out.append((rows[hit], rows[hit] + lag))
+        hit = rows[_chained(words, rows, rows + lag, bits)]
+        out.append((hit, hit + lag))
+        held += len(hit)
+        if held > HELD_LINKS:
+            out = [forest(np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]))]
+            held = 0
         lag += 1
-    for k in np.flatnonzero(length > 32):
+    for k in np.flatnonzero(length > LAGS):
         at = edges[k]
-        out += [(a + at, b + at) for a, b in _spanning(int(length[k]), lambda one, rest: _close(fp, at + rest, at + np.array([one]), bits))]
+        out += [(a + at, b + at) for a, b in _spanning(int(length[k]), lambda one, rest: _chained(words, at + rest, at + np.array([one]), bits))]
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _link_batches(bits: int):
+def _link_batches(bits: tuple[int, ...]):
     """Spanning edges of the links under each key; rows arrive sorted by (key, pair)."""
 
     def links_of(rows: np.ndarray) -> pa.RecordBatch:
@@ -215,10 +250,13 @@ def _link_batches(bits: int):
     return work
 
 
-def _cut_up(rows: DataFrame, block: int) -> DataFrame:
-    """``rows`` (key, fp, others) with a column ``pair``: a key of more than ``block`` rows is cut into blocks, and a row comes once for each pair of blocks with its own."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    hot = cut(sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+def _cut_up(rows: DataFrame, block: int, sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` (key, fp, others) with a column ``pair``: a key of more than ``block`` rows is cut into blocks, and a row comes once for each pair of blocks with its own.
+
+    ``sizes`` has (key, n) rows, whose n add up to the key's rows.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")) if sizes is None else sizes.groupBy("key").agg(F.sum("n").alias("n"))
+    hot = cut(sizes.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
     if hot.isEmpty():
         return rows.withColumn("pair", F.lit(0).cast("long"))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long")
@@ -228,13 +266,39 @@ def _cut_up(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, *others: str) -> DataFrame:
-    return rows.select("key", "pair", "fp", *_FP, *others).repartition("key", "pair").sortWithinPartitions("key", "pair")
+    return rows.select("key", "pair", "fp", *others).repartition("key", "pair").sortWithinPartitions("key", "pair")
+
+
+def _ring_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The rings of a batch of (fp, f0..)."""
+    return np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
+
+
+def _start_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            fp = _ring_of(part)
+            words = chains(fp).reshape(-1, len(_CHAIN)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(starts(fp).ravel()), pa.array(np.repeat(part.column(0).to_numpy(), STARTS)), *map(pa.array, np.ascontiguousarray(words.T))], ["key", "fp", *_CHAIN])
+
+
+def _size_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(STARTS << KEY, dtype=np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            n += np.bincount(starts(_ring_of(batch)).ravel(), minlength=len(n))
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["key", "n"])
 
 
 def loose_links(of: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(u, v): edges whose components are those of all pairs of ``nodes`` that share a chain and differ in at most the budget of bits."""
-    rows = of.select("fp", *_FP, F.explode(F.array_distinct(F.array(*_KEYS))).alias("key"))
-    return _dealt(_cut_up(rows, block)).mapInArrow(_link_batches(budget(similarity)), "u long, v long").distinct()
+    """(u, v): edges whose components are those of all pairs of ``nodes`` that meet under a start and lie within the chains' budgets."""
+    of = of.select("fp", *_RING)
+    rows = of.mapInArrow(_start_batches, ", ".join(f"{c} long" for c in ["key", "fp", *_CHAIN]))
+    sizes = of.mapInArrow(_size_batches, "key long, n long")
+    bits = tuple(budget(similarity, n) for n in CHAIN_BITS)
+    return _dealt(_cut_up(rows, block, sizes), *_CHAIN).mapInArrow(_link_batches(bits), "u long, v long").distinct()
 
 
 def _same(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -288,11 +352,11 @@ def _check_batches(similarity: float, bits: int):
 def classes(marked: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, exact_block: int = EXACT_BLOCK) -> DataFrame:
     """(fp, least_id, root) for every node of stored ``marks``: ``root`` names the component of links of at least ``similarity``."""
     of = cut(nodes(marked))
-    loose = max(0.0, similarity - SLACK)
+    loose, looser = (max(0.0, similarity - slack) for slack in (SLACK, EXACT_SLACK))
     near = connected_components(loose_links(of, loose, block)).select(F.col("node").alias("fp"), F.col("root").alias("key"))
     rows = cut(_cut_up(of.join(near, "fp").select("key", "fp", "least_rid"), exact_block))
     side = small_side(rows)
     whole = marked.select("rid", *_FP, "shingles").join(side if side is not rows else rows.hint("shuffle_hash"), F.col("rid") == F.col("least_rid"))
-    exact = _dealt(whole, "shingles").mapInArrow(_check_batches(similarity, budget(loose)), "u long, v long")
+    exact = _dealt(whole, *_FP, "shingles").mapInArrow(_check_batches(similarity, budget(looser)), "u long, v long")
     roots = connected_components(exact).withColumnRenamed("node", "fp")
     return of.select("fp", "least_id").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

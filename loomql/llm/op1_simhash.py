@@ -19,7 +19,7 @@ A key that holds more than ``BLOCK`` fingerprints is cut into blocks and all pai
 blocks are compared in different tasks.
 
 This is the law of ``near_duplicates``.  ``representatives``, which the pipeline calls, links texts by shingles of five words and a similarity of 0.8
-(``near_copies``), for which a budget of 3 bits is too narrow.
+(``near_copies``): the same search by pigeonring chains, on a ring of 1,024 bits with a budget wide enough for that, and an exact check.
 
 A fingerprint that many rows share is joined to its component by broadcast: at most ``HOT`` fingerprints can hold more than
 that part of the rows each.  Texts themselves are shuffled once, and only where rows are chosen (``representatives``).

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 from llm.conftest import KINDS, prose, texts_of
+from llm.test_simhash import components
 
 from loomql.llm import near_copies as nc
 from loomql.llm import op1_simhash as op
@@ -118,3 +119,53 @@ def test_spanning_trees_reach_what_links_reach():
     whole, tree = nc.forest(u, v), nc.forest(a, b)
     assert sorted(zip(*map(np.ndarray.tolist, whole))) == sorted(zip(*map(np.ndarray.tolist, tree)))
     assert len(a) == len(whole[0])
+
+
+def ring_nodes(rng, n=300, centres=20):
+    """Distinct rings of 1024 bits, many of them a few to 200 bits from another."""
+    found = set()
+    while len(found) < n:
+        x = rng.getrandbits(nc.RING) if len(found) < centres else rng.choice(sorted(found))
+        for k in rng.sample(range(nc.RING), rng.choice([1, 20, 63, 120, 160, 200])):
+            x ^= 1 << k
+        found.add(x)
+    return sorted(found)
+
+
+def meet(x, y):
+    """The law in plain Python: from some start the first bits are equal, and the chains of 64 and 128 bits lie within their share of the budget."""
+    for start in range(0, nc.RING, nc.SEGMENT):
+        d = x ^ y
+        d = (d >> start | d << nc.RING - start) & (1 << nc.RING) - 1
+        if d & (1 << nc.KEY) - 1 == 0 and all((d & (1 << n) - 1).bit_count() <= nc.budget(0.6, n) for n in nc.CHAIN_BITS):
+            return True
+    return False
+
+
+def test_candidates_are_found_by_pigeonring_chains_of_fingerprints(spark):
+    """No other column than the SimHash's words is needed, and the links are those of comparing all pairs, in blocks too."""
+    fps = ring_nodes(random.Random(8))
+    words = [[(x >> 64 * k) & (1 << 64) - 1 for k in range(nc.RING // 64)] for x in fps]
+    signed = [[w - (1 << 64) if w >> 63 else w for w in row] for row in words]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(signed)], ", ".join(f"{c} long" for c in ["fp", *nc._RING]))
+    every = [(a, b) for a in range(len(fps)) for b in range(a) if meet(fps[a], fps[b])]
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() < nc.STARTS]
+    assert near and set(near) < set(every)
+    for block in (nc.BLOCK, 3):
+        got = [(r["u"], r["v"]) for r in nc.loose_links(df, 0.6, block).collect()]
+        assert components(range(len(fps)), got) == components(range(len(fps)), every)
+
+
+def test_trees_and_pairs_give_the_same_components(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)[rng.integers(0, 40, 400)] ^ (np.uint64(1) << rng.integers(0, 63, (400, 2), dtype=np.uint64))
+    group = np.sort(rng.integers(0, 5, 400))
+    bits = tuple(nc.budget(0.6, n) for n in nc.CHAIN_BITS)
+    found = []
+    for lags, held in ((1024, 1 << 20), (1024, 50), (10, 1 << 20)):
+        monkeypatch.setattr(nc, "LAGS", lags)
+        monkeypatch.setattr(nc, "HELD_LINKS", held)
+        a, b = nc.group_links(group, words, bits)
+        assert (group[a] == group[b]).all()
+        found.append(components(range(400), zip(a.tolist(), b.tolist())))
+    assert found[0] == found[1] == found[2] and 5 < len(found[0]) < 400
