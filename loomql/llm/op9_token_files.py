@@ -82,8 +82,9 @@ class ChunkEncoder:
 
     def _learn(self, words: set[str]) -> set[str]:
         """Puts words into the memory; returns those that no memory can hold."""
-        plain = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() else rest).append(w)
         odd = {w for w in rest if not w or w[0].isspace() or w[-1].isspace()}
         split, known = {}, self.words
         self.fresh = list(words)
@@ -109,12 +110,14 @@ class ChunkEncoder:
         cut = [t.partition(" ") for t in texts]
         tails = [c[2].split(" ") if c[1] else [] for c in cut]
         found = [list(map(get, tail)) for tail in tails]
-        gaps = [i for i, f in enumerate(found) if None in f]
-        odd = self._learn({w for i in gaps for w, x in zip(tails[i], found[i]) if x is None}) if gaps else set()
-        for i in gaps:
-            found[i] = list(map(get, tails[i]))
+        # only the places of unknown words are looked up again (and `is` spares comparing ids with None)
+        gaps = {i: js for i, f in enumerate(found) if (js := [j for j, x in enumerate(f) if x is None])}
+        odd = self._learn({tails[i][j] for i, js in gaps.items() for j in js}) if gaps else set()
+        for i, js in gaps.items():
+            for j in js:
+                found[i][j] = get(tails[i][j])
         # texts with other white space around a space, or before the first one, go to the library whole
-        alone = [i for i in gaps if None in found[i]] if odd else []
+        alone = [i for i, js in gaps.items() if not odd.isdisjoint(tails[i][j] for j in js)] if odd else []
         single = {*alone, *(i for i, c in enumerate(cut) if not c[1] or not c[0] or c[0][-1].isspace())}
         heads = self._library([texts[i] if i in single else cut[i][0] for i in range(len(texts))])
         for w in self.fresh:

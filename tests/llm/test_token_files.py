@@ -105,3 +105,22 @@ def test_long_texts_without_spaces(spark, library):
     coder = op.ChunkEncoder(op.default_tokenizer())
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in coder.encode(texts)] == library(texts)
     assert max(map(len, coder.words), default=0) <= op.LONGEST_KEPT
+
+
+def test_known_words_are_looked_up_once(library):
+    """A new word in a text doesn't make the text's other words be looked up again."""
+
+    class Counting(dict):
+        calls = 0
+
+        def get(self, *a):
+            Counting.calls += 1
+            return dict.get(self, *a)
+
+    known = "the of and to in is it lowly river stone".split() * 100
+    code = op.ChunkEncoder(op.default_tokenizer())
+    code.encode([" ".join(known)])
+    code.words = Counting(code.words)
+    texts = [" ".join([*known, "wholly-new,", "words", *known]), " ".join(known)]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in code.encode(texts)] == library(texts)
+    assert Counting.calls <= sum(len(t.split()) for t in texts) + 10
