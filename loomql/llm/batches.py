@@ -45,13 +45,18 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
-def runs(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """(slice of the batch, its texts) in runs of about ``size`` bytes, at least one text each; a null text is an empty one."""
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch with about ``size`` bytes of a column's texts, at least one text each."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(lengths + 16), 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + size)))
-        part = batch.slice(at, to - at)
-        yield part, [t or "" for t in part.column(column).to_pylist()]
+        yield batch.slice(at, to - at)
         at = to
+
+
+def runs(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """(slice of the batch, its texts) in runs of about ``size`` bytes, at least one text each; a null text is an empty one."""
+    for part in slices(batch, column, size):
+        yield part, [t or "" for t in part.column(column).to_pylist()]

@@ -8,7 +8,8 @@ delta encoded, row groups are ``ROW_GROUP`` bytes and pages ``PAGE`` bytes with
 reader can fetch metadata alone, or the pages of one document.
 
 Cost: documents are dealt by ranges of (doc_id, hash of the text) as text, which is smaller than ids,
-and encoded where they are written.  A global running total needs only one number per file.  ``read_metadata`` reads the delta-encoded
+and encoded where they are written; Python looks up each different word of a batch once, Arrow puts the ids together.
+A global running total needs only one number per file.  ``read_metadata`` reads the delta-encoded
 columns alone, ``read_ids`` the pages of a range of documents.
 
 Defined cases: a null text is an empty one and has the end id alone; a very long text, with or without spaces, is encoded whole; null doc_ids come first;
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomql.llm.batches import bound_batches, held, runs
+from loomql.llm.batches import bound_batches, held, slices
 from loomql.plans.scratch import new_folder
 
 END_ID = 2
@@ -36,6 +38,8 @@ ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 #: Bounds of a worker's memory of words: their number, and the characters of one (longer ones aren't kept).
 CACHE_WORDS, LONGEST_KEPT = 1_200_000, 48
+#: Bytes of text that are encoded at once: the more, the fewer of their words are different ones.
+RUN = 4 << 20
 _FILE = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
 
@@ -52,7 +56,8 @@ class ChunkEncoder:
     characters other than white space, and between a letter and a full stop or comma.  So the
     ids of a text are those of its parts at such places, and a part's ids can be remembered.  A
     text with other white space around a space goes to the library whole.  The memory is
-    bounded by ``CACHE_WORDS``; a worker that has it full starts it anew.
+    bounded by ``CACHE_WORDS``: a worker that has filled half of it starts the half anew and
+    keeps the last one, from which words that are met again return.
     """
 
     def __init__(self, path: str):
@@ -63,6 +68,7 @@ class ChunkEncoder:
         self.leads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that begin with a space
         self.leads[[i for piece, i in self.tokenizer.get_vocab().items() if piece.startswith("\u0120")]] = True
         self.words: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
         self.fresh: list[str] = []
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -80,14 +86,14 @@ class ChunkEncoder:
         cuts = [*cuts.tolist(), len(raw)]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, words: set[str]) -> set[str]:
-        """Puts words into the memory; returns those that no memory can hold."""
+    def _learn(self, words: list[str]) -> None:
+        """Puts words into the memory, but for those that no memory can hold."""
         plain, rest = [], []
         for w in words:
             (plain if w.isalpha() else rest).append(w)
         odd = {w for w in rest if not w or w[0].isspace() or w[-1].isspace()}
         split, known = {}, self.words
-        self.fresh = list(words)
+        self.fresh = words
         for w in rest:
             core = w.rstrip(".,")
             if core != w and core and core[-1].isalpha() and w not in odd:
@@ -99,31 +105,66 @@ class ChunkEncoder:
         ends = list({w[len(core) :] for w, core in split.items()})
         end_ids = dict(zip(ends, self._library(ends)))
         known.update({w: known[core] + end_ids[w[len(core) :]] for w, core in split.items()})
-        return odd
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> tuple[pa.Array, np.ndarray]:
+        """The ids of a column's texts (null: empty) in a row, with the ids ``end`` after each text, and how many each text has.
+
+        Arrow cuts the texts into words, numbers the different ones and puts the ids of all together, so Python sees each different word once.
+        """
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words, self.last = {}, self.words
         self.fresh = []
-        get = self.words.get
-        cut = [t.partition(" ") for t in texts]
-        tails = [c[2].split(" ") if c[1] else [] for c in cut]
-        found = [list(map(get, tail)) for tail in tails]
-        # only the places of unknown words are looked up again (and `is` spares comparing ids with None)
-        gaps = {i: js for i, f in enumerate(found) if (js := [j for j, x in enumerate(f) if x is None])}
-        odd = self._learn({tails[i][j] for i, js in gaps.items() for j in js}) if gaps else set()
-        for i, js in gaps.items():
-            for j in js:
-                found[i][j] = get(tails[i][j])
+        n, get = len(texts), self.words.get
+        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        starts = parts.offsets.to_numpy().astype(np.int64)
+        n_parts, starts = np.diff(starts), starts[:-1] - starts[0]
+        coded = parts.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        head = np.zeros(len(at), dtype=bool)
+        head[starts] = True
+        led = np.zeros(len(words), dtype=bool)  # words that follow a space somewhere
+        led[at[~head]] = True
+        found = list(map(get, words))
+        gaps = [j for j, x in enumerate(found) if x is None and led[j]]
+        if gaps and self.last:
+            back = {words[j]: x for j in gaps if (x := self.last.get(words[j])) is not None}
+            self.words.update(back)
+            for j in gaps:
+                found[j] = back.get(words[j])
+            gaps = [j for j in gaps if found[j] is None]
+        if gaps:
+            self._learn([words[j] for j in gaps])
+        odd = np.zeros(len(words), dtype=bool)
+        for j in gaps:
+            found[j] = get(words[j])
+            odd[j] = found[j] is None
         # texts with other white space around a space, or before the first one, go to the library whole
-        alone = [i for i, js in gaps.items() if not odd.isdisjoint(tails[i][j] for j in js)] if odd else []
-        single = {*alone, *(i for i, c in enumerate(cut) if not c[1] or not c[0] or c[0][-1].isspace())}
-        heads = self._library([texts[i] if i in single else cut[i][0] for i in range(len(texts))])
+        heads = [words[j] for j in at[starts].tolist()]
+        single = (n_parts == 1) | np.array([not w or w[-1].isspace() for w in heads], dtype=bool)
+        single[np.searchsorted(starts, np.flatnonzero(odd[at] & ~head), side="right") - 1] = True
+        alone = np.flatnonzero(single)
+        for i, text in zip(alone.tolist(), texts.take(pa.array(alone)).to_pylist()):
+            heads[i] = text or ""
         for w in self.fresh:
             if len(w) > LONGEST_KEPT:
                 self.words.pop(w, None)
-        return [h if i in single else h + b"".join(found[i]) for i, h in enumerate(heads)]
+        # a text's slots: its head (or all of it), its other words, its end
+        pool = pa.array([*found, *self._library(heads), end], pa.large_binary())
+        kept = head | ~np.repeat(single, n_parts)
+        at[starts] = len(words) + np.arange(n)
+        ends = np.cumsum(np.where(single, 1, n_parts) + 1)
+        slots, inner = np.full(int(ends[-1]) if n else 0, len(words) + n), np.ones(int(ends[-1]) if n else 0, dtype=bool)
+        inner[ends - 1] = False
+        slots[inner] = at[kept]
+        _, bounds, ids = pool.take(pa.array(slots)).buffers()
+        bounds = np.frombuffer(bounds, dtype=np.int64, count=len(slots) + 1)[np.r_[0, ends]] // 4 if n else np.zeros(1, np.int64)
+        return pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, ids]), np.diff(bounds)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, n = self.encode_column(pa.array(texts, pa.string()))
+        ids, ends = ids.to_numpy().astype("<i4", copy=False), np.cumsum(n)
+        return [ids[b - k : b].tobytes() for b, k in zip(ends.tolist(), n.tolist())]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -137,12 +178,11 @@ def _encode_batches(path: str, end_id: int):
         part, done, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u4").tobytes()
         code = encoder(path)
         for batch in batches:
-            for piece, run in runs(batch, 1):
-                ids = [x + end for x in code.encode(run)]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for piece in slices(batch, 1, RUN):
+                ids, n = code.encode_column(piece.column(1), end)
                 ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(run), part, np.int32)), pa.array(done + ends - n), pa.array(n.astype(np.int32)), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), ids)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(done + ends - n), pa.array(n.astype(np.int32)), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
                 done += int(ends[-1])
 
     return work

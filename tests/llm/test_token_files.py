@@ -124,3 +124,47 @@ def test_known_words_are_looked_up_once(library):
     texts = [" ".join([*known, "wholly-new,", "words", *known]), " ".join(known)]
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in code.encode(texts)] == library(texts)
     assert Counting.calls <= sum(len(t.split()) for t in texts) + 10
+
+
+def test_a_column_s_different_words_are_looked_up_once(library):
+    """Lookups grow with the different words of a column, not with its words."""
+
+    class Counting(dict):
+        calls = 0
+
+        def get(self, *a):
+            Counting.calls += 1
+            return dict.get(self, *a)
+
+    words = "the of and to in is it lowly river stone 1998, l'eau".split()
+    texts = [" ".join([*words, f"new{i % 3}", *words] * 20) for i in range(100)]
+    code = op.ChunkEncoder(op.default_tokenizer())
+    code.words = Counting()
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in code.encode(texts)] == library(texts)
+    assert Counting.calls <= 2 * (len(words) + 3)
+
+
+def test_columns_with_nulls_and_offsets(library):
+    """A slice of a column, with nulls: the end id follows each text."""
+    import pyarrow as pa
+
+    texts = ["cut off", "a river", None, "", " lead", "one", "a  b", "tail ", "x\u00a0 y z", "a river, a stone.", "cut off"]
+    for kind in (pa.string(), pa.large_string()):
+        ids, n = op.ChunkEncoder(op.default_tokenizer()).encode_column(pa.array(texts, kind)[1:-1], (2).to_bytes(4, "little"))
+        expected = [[*x, op.END_ID] for x in library([t or "" for t in texts[1:-1]])]
+        assert n.tolist() == list(map(len, expected)) and ids.to_pylist() == sum(expected, [])
+    ids, n = op.ChunkEncoder(op.default_tokenizer()).encode_column(pa.array([], pa.string()))
+    assert len(ids) == len(n) == 0
+
+
+def test_frequent_words_outlive_a_full_memory(library, monkeypatch):
+    """A memory that is full forgets words that weren't met lately; the others aren't encoded again."""
+    monkeypatch.setattr(op, "CACHE_WORDS", 100)
+    code, seen = op.ChunkEncoder(op.default_tokenizer()), []
+    inner = code._words
+    code._words = lambda words: seen.extend(words) or inner(words)
+    for i in range(40):
+        texts = [" ".join(["the", "river", *(f"w{i}x{j}" for j in range(20)), "stone"])]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in code.encode(texts)] == library(texts)
+        assert len(code.words) + len(code.last) <= 100 + 2 * 22
+    assert seen.count("river") == seen.count("stone") == 1
